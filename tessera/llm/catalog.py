@@ -19,6 +19,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_documents(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", F.to_json("spans").alias("spans"))
+
+
 def op5_bpe_prefix_dp(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     from .bpe import encode_documents
 
