@@ -26,6 +26,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import compare_edited
+
+    return compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, held_out, score_documents
 
