@@ -404,3 +404,28 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     joined = whole.join(marks, "rid", "left").select("doc_id", "rid", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, rid long, n_words long, n_removed long, kept string")
+
+
+def strip_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns and rows, its text less the words that repeated windows cover. A text that loses nothing stays as it is,
+    null included; another becomes its kept words joined by blanks."""
+    ws = Workspace(docs.sparkSession, "substring")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marks = repeated_spans(ws, docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), text.alias("text")), window)
+    marks = marks.select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
+    joined = docs.withColumn("_rid", F.xxhash64(F.col(id_col), text)).join(marks, "_rid", "left").select(*docs.columns, "_spans")
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for i, flat in enumerate(b.column(len(b.columns) - 1).to_pylist()):
+                if flat:
+                    words = texts[i].encode("utf-8", "surrogatepass").split()
+                    gone = covered(len(words), flat).tolist()
+                    texts[i] = b" ".join([w for w, g in zip(words, gone) if not g]).decode("utf-8", "surrogatepass")
+            columns = list(b.columns[:-1])
+            columns[at] = pa.array(texts, b.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)

@@ -96,7 +96,7 @@ class Model:
         get = self.weights.get
         return self.bias + sum(get(f, 0.0) for f in features(word))
 
-    def score(self, p: np.ndarray, first: np.ndarray, docs: int, doc_of: np.ndarray) -> np.ndarray:
+    def score(self, p: np.ndarray, docs: int, doc_of: np.ndarray) -> np.ndarray:
         return _sigmoid(summaries(p, docs, doc_of) @ self.calibration)
 
 
@@ -227,45 +227,74 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shipped.value
-        known: dict[str, float] = {}
-
-        def look(word):
-            if (got := known.get(word)) is None:
-                if len(known) > 500_000:
-                    known.clear()
-                known[word] = got = m.emission(word.lower())
-            return got
-
-        def flush(ids, texts, words, sizes):
-            e = np.array(words)
-            doc_of = np.repeat(np.arange(len(sizes)), sizes)
-            first = np.append(True, doc_of[1:] != doc_of[:-1]) if len(e) else np.empty(0, bool)
-            p = marginals(e, first, m.trans, m.start)
-            score = m.score(p, first, len(sizes), doc_of)
-            ends = np.cumsum(sizes)
-            spans = []
-            for d, text in enumerate(texts):
-                mine = p[ends[d] - sizes[d] : ends[d]]
-                hit = set(np.flatnonzero(mine >= 0.5).tolist())
-                spans.append([{"first": w.start(), "last": w.end(), "p": float(mine[k])} for k, w in enumerate(WORD.finditer(text)) if k in hit] if hit else [])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("p", pa.float64())])))],
-                names=["doc_id", "score", "predicted", "spans"],
-            )
-
-        ids, texts, words, sizes = [], [], [], []
+        tag = Tagger(shipped.value)
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = t or ""
-                mine = [look(w) for w in WORD.findall(t)]
-                ids.append(i), texts.append(t), sizes.append(len(mine))
-                words += mine
-                if len(words) > 400_000:
-                    yield flush(ids, texts, words, sizes)
-                    ids, texts, words, sizes = [], [], [], []
-        if ids:
-            yield flush(ids, texts, words, sizes)
+            for part, texts in _bounded(b, 1):
+                score, p, ends = tag(texts)
+                spans = []
+                for d, text in enumerate(texts):
+                    mine = p[ends[d] : ends[d + 1]]
+                    hit = set(np.flatnonzero(mine >= 0.5).tolist())
+                    spans.append([{"first": w.start(), "last": w.end(), "p": float(mine[k])} for k, w in enumerate(WORD.finditer(text)) if k in hit] if hit else [])
+                kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("p", pa.float64())]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, kind)],
+                    names=["doc_id", "score", "predicted", "spans"],
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<first int, last int, p double>>")
+
+
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below 0.5."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        tag = Tagger(shipped.value)
+        for b in batches:
+            for part, texts in _bounded(b, at):
+                yield part.filter(pa.array(tag(texts)[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+#: Characters of the texts that are tagged at once, about.
+CHUNK = 2_000_000
+
+
+def _bounded(batch: pa.RecordBatch, at: int):
+    """Slices of a batch and their texts, of about CHUNK characters each."""
+    texts = [t or "" for t in batch.column(at).to_pylist()]
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > CHUNK or i == len(texts) - 1:
+            yield batch.slice(first, i + 1 - first), texts[first : i + 1]
+            first, size = i + 1, 0
+
+
+class Tagger:
+    """Scores texts with a model; remembers the emissions of up to half a million words."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.known = model, {}
+
+    def look(self, word: str) -> float:
+        if (got := self.known.get(word)) is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            self.known[word] = got = self.model.emission(word.lower())
+        return got
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, marginals of all words, and where each text's words begin."""
+        look, m = self.look, self.model
+        words = [[look(w) for w in WORD.findall(t)] for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        e = np.array([x for w in words for x in w])
+        doc_of = np.repeat(np.arange(len(texts)), sizes)
+        first = np.append(True, doc_of[1:] != doc_of[:-1]) if len(e) else np.empty(0, bool)
+        p = marginals(e, first, m.trans, m.start)
+        return m.score(p, len(texts), doc_of), p, np.append(0, np.cumsum(sizes))
