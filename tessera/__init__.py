@@ -1,0 +1 @@
+"""A fluent data-processing library on Spark DataFrames."""
