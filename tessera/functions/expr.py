@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -579,8 +580,6 @@ class Expr:
 
     def method(self, function: Callable, returns: str = "string") -> Expr:
         """A Python function of the value, in Arrow batches; for what no built-in function does."""
-        import pandas as pd
-
         @F.pandas_udf(returns)
         def call(x: pd.Series) -> pd.Series:
             return x.map(function, na_action="ignore")
@@ -927,8 +926,6 @@ def _pick(x: Column, kind: T.DataType, fields: Iterable[str | Expr]) -> Column:
 def _natural(mode: str):
     if mode not in ("natsort", "natcasesort"):
         raise ValueError(f"unknown sort {mode!r}")
-    import pandas as pd
-
     def key(s):
         s = s.casefold() if mode == "natcasesort" else s
         return [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.findall(r"\d+|\D+", s)]
