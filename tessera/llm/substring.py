@@ -412,8 +412,8 @@ def strip_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     ws = Workspace(docs.sparkSession, "substring")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marks = repeated_spans(ws, docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), text.alias("text")), window)
-    marks = marks.select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_rid", F.xxhash64(F.col(id_col), text)).join(marks, "_rid", "left").select(*docs.columns, "_spans")
+    marks = marks.select(F.col("rid").alias("_tessera_rid"), F.col("spans").alias("_tessera_spans"))
+    joined = docs.withColumn("_tessera_rid", F.xxhash64(F.col(id_col), text)).join(marks, "_tessera_rid", "left").select(*docs.columns, "_tessera_spans")
     at = docs.columns.index(text_col)
 
     def run(batches):
