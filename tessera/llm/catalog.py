@@ -90,5 +90,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
+ORACLE = {
+    "op1_warc_normaliser": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS INT), 1)), '') AS payload_digest,
+ CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to, url FROM k""",
+    "op10_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d),
+h AS (SELECT s.r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM s JOIN d ON s.r = d.r),
+again AS (SELECT r, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+gone AS (SELECT DISTINCT r, i + k AS j FROM again, range(0, 35) t(k)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.j) AS text FROM words LEFT JOIN gone ON words.r = gone.r AND words.j = gone.j WHERE gone.j IS NULL GROUP BY 1),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN kept ON d.r = kept.r""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

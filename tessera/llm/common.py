@@ -74,6 +74,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fits(df: DataFrame, rows: int) -> DataFrame:
+    """The table, as a broadcast if it has at most ``rows`` rows; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def connected_components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v of one orderable type); root is the smallest node reachable.
 

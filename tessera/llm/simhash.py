@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, shuffle_partitions
+from .common import Workspace, connected_components, fits, shuffle_partitions
 
 LANES = np.uint64(0x0101010101010101)
 BLOCKS, WIDTH = 8, 8
@@ -44,6 +44,18 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64)
 
 
+#: Words of fewer characters are in every text of a language; a text with fewer than FEW longer ones has all its words as features.
+LONG, FEW = 5, 3
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """XXH64 (seed 42) of each distinct word of at least LONG bytes. An edit changes one of them where it changes five
+    five-word shingles, so that copies of a shingle similarity of 0.8 are but a few bits apart."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    long_words = [w for w in words if len(w) >= LONG]
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in (long_words if len(long_words) >= FEW else words)], np.uint64)
+
+
 def majority(h: np.ndarray) -> int:
     """64-bit fingerprint, signed: a bit is 1 if it is set in over half of ``h``."""
     n = len(h)
@@ -60,13 +72,13 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp). A null or wordless text has fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp) of the texts' shingles, or of their distinct long words (None). A null or wordless text has fingerprint 0."""
 
     def run(batches):
         for b in batches:
             texts = b.column(1)
-            fps = [majority(shingle_hashes(t.as_py(), shingle)) for t in texts]
+            fps = [majority(word_hashes(t.as_py()) if shingle is None else shingle_hashes(t.as_py(), shingle)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -347,7 +359,7 @@ def hamming_links(ws: Workspace, distinct: DataFrame, distance: int) -> DataFram
     return tiled.mapInArrow(lambda batches: link_sorted(batches, limit), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int | None = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints a chain of links joins share the smallest doc_id.
 
     Equal fingerprints are one node, so that copies never meet pairwise. Null texts and texts without words have
@@ -364,3 +376,81 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     named = distinct.join(groups, distinct.least == groups.node, "left")
     named = ws.table(named.select("fp", F.coalesce("root", "least").alias("component_id")), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: A component of at most so many different texts is settled in one task.
+SETTLED = 200
+
+
+def _settle(similarity: float):
+    """Leaders of one component: in order of doc_id, a document that is similar to an earlier leader goes, another becomes one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        leaders, gone = [], []
+        for doc, sh in zip(table["doc_id"].to_pylist(), table["sh"]):
+            mine = sh.values.to_numpy()
+            if any(_similar(mine, other, similarity) for other in leaders):
+                gone.append(doc)
+            else:
+                leaders.append(mine)
+        return pa.table({"doc_id": pa.array(gone, pa.int64())})
+
+    return run
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if not min(len(a), len(b)) >= similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def near_copies(docs: DataFrame, distance: int = 7, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id) of the documents that a kept one stands for: equal in text, or of a shingle similarity (Jaccard) of at least ``similarity``.
+
+    Candidates are components of word fingerprints within ``distance`` bits. In each the document of least doc_id leads; those similar
+    to it go, and the rest has a leader of its own, until none is left: no two kept documents of a component are
+    similar. Small components are settled in a task each; large ones lose their leader's copies in rounds of one join, never
+    gathered. Null texts and texts without words equal one another. Rows of one doc_id are one document.
+    """
+    ws = Workspace(docs.sparkSession, "copies")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = near_duplicates(docs, None, distance, id_col, text_col)
+    crowded = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    found = ws.table(found.join(ws.table(crowded, "crowded"), "component_id").select("doc_id", "component_id"), "members")
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(fits(found, COPY_IDS), "doc_id")
+
+    def shingled(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["component_id", "doc_id", "same", "sh"])
+
+    members = held.select("component_id", "doc_id", "text").mapInArrow(shingled, "component_id long, doc_id long, same long, sh array<long>")
+    members = ws.table(members, "shingles")
+    first = ws.table(members.groupBy("component_id", "same").agg(F.min("doc_id").alias("least")), "firsts")
+    placed = members.join(first, ["component_id", "same"])
+    gone = [ws.table(placed.where("doc_id <> least").select("doc_id"), "equal")]
+    left = ws.table(placed.where("doc_id = least").select("component_id", "doc_id", "sh").dropDuplicates(["component_id", "doc_id"]), "different")
+    while True:
+        sizes = left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("leader"))
+        sizes = ws.table(sizes.where("n > 1"), "sizes")
+        small = left.join(sizes.where(F.col("n") <= SETTLED).select("component_id"), "component_id", "left_semi")
+        gone.append(ws.table(small.groupBy("component_id").applyInArrow(_settle(similarity), "doc_id long"), "settled"))
+        large = sizes.where(F.col("n") > SETTLED).select("component_id", "leader")
+        if large.isEmpty():
+            break
+        leaders = ws.table(left.join(large.select("component_id", F.col("leader").alias("doc_id")), ["component_id", "doc_id"]).select("component_id", F.col("doc_id").alias("leader"), F.col("sh").alias("lead")), "leaders")
+        both = F.size(F.array_intersect("sh", "lead"))
+        close = both >= F.lit(similarity) * (F.size("sh") + F.size("lead") - both)
+        compared = ws.table(left.join(leaders, "component_id").where("doc_id <> leader").select("component_id", "doc_id", "sh", close.alias("close")), "compared")
+        gone.append(compared.where("close").select("doc_id"))
+        left = compared.where("not close").select("component_id", "doc_id", "sh")
+    out = gone[0]
+    for g in gone[1:]:
+        out = out.unionByName(g)
+    return out.distinct()
+
+
+#: At most so many document ids go out as a broadcast.
+COPY_IDS = 500_000
