@@ -12,7 +12,7 @@ from .functions import lit, ref, window
 from .operators.frame import Frame
 from .operators.joins import compare_all, compare_any, equal, identical, join_on
 from .schema import Schema, datetime_schema, int_schema, str_schema
-from .session import SETTINGS
+from .session import SETTINGS, shared_folder
 from .sources import memory
 from .sources.memory import from_all
 
@@ -433,8 +433,7 @@ def _round_trip(f: Frame, spark: SparkSession, sink, read, partitions: tuple[str
     import atexit
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/tessera"
-    path = f"{base.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}"
 
     def drop():
         try:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,3 +26,13 @@ def session(app: str = "tessera", **conf: str) -> SparkSession:
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only for a local master that has none."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/tessera"
