@@ -520,6 +520,152 @@ def json_plan(t, spark):
     return b._calls(t("customer"), call)
 
 
+@query("SELECT n_name AS \"N_NAME\", n_regionkey AS \"N_REGIONKEY\" FROM nation")
+def rename_upper(t, spark):
+    return t("nation").select("n_name", "n_regionkey").rename_all_upper_case()
+
+
+@query("SELECT s_nationkey AS n_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
+def diff_right(t, spark):
+    left = t("nation").filter(ref("n_regionkey").less_than(3)).select("n_nationkey")
+    return left.diff_right(t("supplier").select("s_nationkey").rename("s_nationkey", "n_nationkey"))
+
+
+@query("SELECT p_partkey FROM part ORDER BY p_partkey DESC LIMIT 10")
+def take_right(t, spark):
+    return t("part").select("p_partkey").take_right(10, "p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part ORDER BY p_partkey DESC LIMIT 10)")
+def drop_right(t, spark):
+    return t("part").select("p_partkey").drop_right(10, "p_partkey")
+
+
+@query("SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderstatus FROM orders")
+def partition_values(t, spark):
+    return t("orders").partition_values("o_orderdate", "o_orderstatus")
+
+
+@query("SELECT event_id, TRUE AS a, props IS NOT NULL AS b, ts IS NOT NULL AS c, FALSE AS d, TRUE AS e FROM events")
+def type_tests(t, spark):
+    e = {"a": ref("event_id").is_numeric(), "b": ref("props").is_type("string"), "c": ref("ts").is_type("datetime", "null"), "d": ref("event_id").is_type("string", "list"), "e": ref("absent").exists().equals(False)}
+    return t("events").with_entries(e).select("event_id", *e)
+
+
+@query("SELECT n_nationkey, n_nationkey % 2 = 0 AS even, n_nationkey % 2 <> 0 AS odd, n_nationkey = 3 AS same, n_name IS NULL AS missing FROM nation")
+def parity_same_null(t, spark):
+    k = ref("n_nationkey")
+    e = {"even": k.is_even(), "odd": k.is_odd(), "same": k.same(3), "missing": ref("n_name").is_null()}
+    return t("nation").with_entries(e).select("n_nationkey", *e)
+
+
+@query("SELECT c_custkey, ltrim(c_name, 'C') AS l, rtrim(c_name, '0123456789') AS r, CAST(length(trim('  ' || c_name || ' ')) AS INTEGER) AS n FROM customer")
+def trims(t, spark):
+    c = ref("c_name")
+    e = {"l": c.trim("left", "C"), "r": c.trim("right", "0123456789"), "n": fn.concat("  ", c, " ").trim().size()}
+    return t("customer").with_entries(e).select("c_custkey", *e)
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM part")
+def capitalize(t, spark):
+    return t("part").with_entry("title", ref("p_type").capitalize()).select("p_partkey", "title")
+
+
+@query("SELECT p_partkey, array_to_string(regexp_extract_all(p_brand, '\\d'), '-') AS digits, CAST(len(regexp_extract_all(p_type, '[A-Z]+')) AS INTEGER) AS words FROM part")
+def regex_all(t, spark):
+    e = {"digits": ref("p_brand").regex_all("/[0-9]/").array_get("0"), "words": ref("p_type").regex_all("/[A-Z]+/").array_get("0").size()}
+    f = t("part").with_entries(e)
+    return Frame(f.df.select("p_partkey", F.array_join("digits", "-").alias("digits"), F.coalesce("words", F.lit(0)).alias("words")))
+
+
+@query("SELECT p_partkey, regexp_replace(p_brand, '\\d', 'x') AS once FROM part")
+def regex_replace_limit(t, spark):
+    return t("part").with_entry("once", ref("p_brand").regex_replace("/[0-9]/", "x", 1)).select("p_partkey", "once")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN floor(c_acctbal) + CAST(c_acctbal - floor(c_acctbal) > 0.5 AS INT) ELSE floor(c_acctbal + 0.5) END AS up FROM customer")
+def round_half_up(t, spark):
+    return t("customer").with_entry("up", ref("c_acctbal").round(0)).select("c_custkey", "up")
+
+
+@query("SELECT o_orderkey, strftime(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey * 3600), '%Y-%m-%d %H:%M:%S') AS moment, strftime(strptime('15.06.2024', '%d.%m.%Y'), '%Y-%m-%d') AS parsed FROM orders")
+def parse_dates(t, spark):
+    e = {"moment": ref("o_orderkey").multiply(3600).to_date_time().date_time_format("Y-m-d H:i:s"), "parsed": lit("15.06.2024").to_date("d.m.Y").date_format()}
+    return t("orders").with_entries(e).select("o_orderkey", *e)
+
+
+@query("SELECT n_nationkey, CAST(to_json({'key': n_nationkey, 'name': n_name}) AS VARCHAR) AS j FROM nation")
+def json_encode(t, spark):
+    from .functions.expr import Expr
+
+    s = Expr(lambda ctx: F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")))
+    return t("nation").with_entry("s", s).with_entry("j", ref("s").json_encode()).select("n_nationkey", "j")
+
+
+@query("SELECT n_nationkey, n_name AS a, CAST(n_regionkey AS INTEGER) AS b, CAST(NULL AS VARCHAR) AS c FROM nation")
+def json_decode(t, spark):
+    from .functions.expr import Expr
+
+    j = Expr(lambda ctx: F.to_json(F.struct(F.col("n_name").alias("a"), F.col("n_regionkey").alias("b"))))
+    f = t("nation").with_entry("j", j).with_entry("d", ref("j").json_decode("a string, b int"))
+    return f.with_entries({"a": ref("d").array_get("a"), "b": ref("d").array_get("b"), "c": ref("d").array_get("?c")}).select("n_nationkey", "a", "b", "c")
+
+
+@query("SELECT n_nationkey, n_name AS left_name, TRUE AS has, FALSE AS hasnt FROM nation")
+def struct_select_merge(t, spark):
+    from .functions.expr import Expr
+
+    a = Expr(lambda ctx: F.struct(F.col("n_name").alias("name"), F.lit(1).alias("x")))
+    b = Expr(lambda ctx: F.struct(F.lit(2).alias("x")))
+    f = t("nation").with_entries({"a": a, "b": b}).with_entry("m", ref("a").array_merge(ref("b")))
+    e = {"left_name": ref("m").select("name").array_key_rename("name", "renamed").array_get("renamed"), "has": ref("m").array_path_exists("x"), "hasnt": ref("m").array_path_exists("y")}
+    return f.with_entries(e).select("n_nationkey", *e)
+
+
+@query("SELECT n_regionkey, CAST(to_json(list({'n_name': n_name} ORDER BY n_nationkey)) AS VARCHAR) AS picked FROM nation GROUP BY 1")
+def list_select(t, spark):
+    f = t("nation").select("n_regionkey", "n_nationkey", "n_name").group_to_array("n_regionkey", "rows")
+    from .functions.expr import Expr
+
+    ordered = Expr(lambda ctx: F.array_sort(F.transform("rows", lambda r: F.struct(r["n_nationkey"], r["n_name"]))))
+    return f.with_entry("rows", ordered).with_entry("picked", ref("rows").select("n_name").json_encode()).select("n_regionkey", "picked")
+
+
+@query("SELECT n_nationkey, unnest(['a', 'b']) AS k FROM nation")
+def expand_map_keys(t, spark):
+    return t("nation").with_entry("m", lit({"a": 1, "b": 2})).with_entry("k", ref("m").expand("keys")).select("n_nationkey", "k")
+
+
+@query("SELECT n_nationkey, CAST(to_json([n_name, 'x', 'y']) AS VARCHAR) AS flat FROM nation")
+def merge_collection(t, spark):
+    nested = lit([lit([ref("n_name")]), lit(["x", "y"])])
+    return t("nation").with_entry("l", nested).with_entry("flat", ref("l").array_merge_collection().json_encode()).select("n_nationkey", "flat")
+
+
+@query("SELECT strftime(TIMESTAMP '2024-01-31' + to_months(CAST(range AS INTEGER)), '%Y-%m-%d') AS day FROM range(0, 13)")
+def sequence_recurrences(t, spark):
+    return memory.from_sequence_date_period_recurrences(spark, "d", "2024-01-31", "1 month", 12).with_entry("day", ref("d").date_format("Y-m-d")).select("day")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal <= 0")
+def chained_sources(t, spark):
+    c = t("customer").select("c_custkey", "c_acctbal")
+    return from_all(c.filter(ref("c_acctbal").greater_than(5000)), c.filter(ref("c_acctbal").less_than_equal(0)))
+
+
+@query("SELECT p_partkey, '<b>' || p_name || '</b>' AS node, p_name AS text FROM part")
+def xpath_nodes(t, spark):
+    f = t("part").with_entry("node", fn.concat("<b>", ref("p_name"), "</b>"))
+    return f.with_entry("text", ref("node").xpath("/b/text()").array_get("0")).select("p_partkey", "node", "text")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS long_enough FROM nation")
+def identifiers(t, spark):
+    f = t("nation").with_entries({"a": fn.uuid_v4(), "b": fn.uuid_v7(), "c": fn.ulid(), "d": fn.random_string(8)})
+    ok = fn.all_(ref("a").size().equals(36), ref("b").regex_match("/^.{14}7/"), ref("c").size().equals(26), ref("d").size().equals(8))
+    return f.with_entry("ok", ok).aggregate(fn.count("a").alias("n"), fn.sum_(ref("ok").cast("int")).alias("long_enough"))
+
+
 # extensions: event time
 
 

@@ -185,6 +185,44 @@ class Frame:
     def take_right(self, n: int, order_by: str) -> Frame:
         return self._with(self.df.orderBy(F.col(order_by).desc()).limit(n))
 
+    def take(self, n: int) -> Frame:
+        return self.limit(n)
+
+    def skip(self, n: int) -> Frame:
+        return self.offset(n)
+
+    def sort_ascending(self, key: str | Expr) -> Frame:
+        return self.sort_by((as_expr(key), True))
+
+    def sort_descending(self, key: str | Expr) -> Frame:
+        return self.sort_by((as_expr(key), False))
+
+    reverse = sort_descending
+
+    def sort_entries(self) -> Frame:
+        return self.reorder_entries("name")
+
+    def remove(self, position: int, order_by: str) -> Frame:
+        """Without the row at a position, from 0, of the order; rows of the same key go together."""
+        gone = self.df.orderBy(f"`{order_by}`").offset(position).limit(1).select(f"`{order_by}`")
+        return self._with(self.df.join(F.broadcast(gone), order_by, "left_anti").select(*[f"`{c}`" for c in self.columns]))
+
+    @property
+    def is_partitioned(self) -> bool:
+        return bool(self._partitions)
+
+    def partition_values(self, *names: str) -> Frame:
+        """The distinct partition values as the folders name them: moments as days, all as texts."""
+        from ..functions.expr import TIMES
+
+        made = []
+        for n in names:
+            kind = self.df.schema[n].dataType
+            if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+                raise TypeError(f"{n} is nested and cannot name folders")
+            made.append((F.date_format(f"`{n}`", "yyyy-MM-dd") if isinstance(kind, TIMES) else F.col(f"`{n}`").cast("string")).alias(n))
+        return self._with(self.df.select(*made).distinct())
+
     # groups and joins
     def group_by(self, *keys: str | Expr) -> Grouped:
         return Grouped(self, tuple(map(as_expr, keys)))
@@ -319,6 +357,11 @@ class Frame:
         if batch:
             yield batch
 
+    chunks = get
+
+    def to_array(self) -> list[dict]:
+        return [r.asDict(True) for r in self.fetch()]
+
     def get_each_as_array(self) -> Iterator[dict]:
         return (r.asDict(True) for r in self.get_each())
 
@@ -330,6 +373,8 @@ class Frame:
             if function:
                 function(b)
 
+    each = for_each
+
     def first(self) -> Row:
         row = self.df.first()
         if row is None:

@@ -37,6 +37,38 @@ def type_of_name(name: str) -> T.DataType:
     return _FIELDS[names.get(name, name)]
 
 
+def _type(name: str):
+    def make() -> T.DataType:
+        return _FIELDS[name]
+
+    make.__name__ = f"type_{name}"
+    return make
+
+
+type_int, type_string, type_float, type_boolean = map(_type, ("int", "str", "float", "bool"))
+type_datetime, type_json, type_uuid, type_xml = map(_type, ("datetime", "json", "uuid", "xml"))
+type_array, type_object, type_null, type_xml_element = map(_type, ("array", "object", "null", "xml_element"))
+type_integer = type_int
+
+
+def type_list(element: T.DataType) -> T.DataType:
+    return T.ArrayType(element)
+
+
+def type_map(key: T.DataType, value: T.DataType) -> T.DataType:
+    return T.MapType(key, value)
+
+
+def struct_element(name: str, kind: T.DataType, nullable: bool = True) -> T.StructField:
+    return T.StructField(name, kind, nullable)
+
+
+def struct_type(*elements: T.StructField) -> T.DataType:
+    if not elements:
+        raise ValueError("a structure has at least one element")
+    return T.StructType(list(elements))
+
+
 def enum_schema(name: str, values: list[str], nullable: bool = False, metadata: dict | None = None) -> T.StructField:
     return T.StructField(name, T.StringType(), nullable, {**(metadata or {}), "logical": "enum", "values": list(values)})
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -254,6 +255,18 @@ def to_output(stream=None, limit: int = 20, truncate: int | bool = 20, schema: b
     return write
 
 
+def to_stdout(**options) -> Sink:
+    return lambda df, mode, parts: to_output(sys.stdout, **options)(df, mode, parts)
+
+
+def to_stderr(**options) -> Sink:
+    return lambda df, mode, parts: to_output(sys.stderr, **options)(df, mode, parts)
+
+
+def to_stream(stream, **options) -> Sink:
+    return to_output(stream, **options)
+
+
 def ascii_table(columns: list[str], rows: list[list], truncate: int | bool = 20) -> str:
     """A table with a border and a count; longer values are cut to ``truncate`` characters."""
     most = 20 if truncate is True else int(truncate)
