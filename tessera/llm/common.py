@@ -16,7 +16,8 @@ def shared_base(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one only for a local master that has none."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if base:
-        return base.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)  # with scheme and authority, as other readers need them
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN_BASE:
         if not spark.sparkContext.master.startswith("local"):
