@@ -38,7 +38,7 @@ def restyle(name: str, style: str) -> str:
     return STYLES[style](words(name))
 
 
-#: PHP-like date letters and their Java patterns (fixed values).
+#: Date letters and their Java patterns (fixed values).
 DATE_LETTERS = {
     "d": "dd", "j": "d", "D": "EEE", "l": "EEEE", "z": "D", "m": "MM", "n": "M", "M": "MMM", "F": "MMMM",
     "Y": "yyyy", "y": "yy", "H": "HH", "G": "H", "h": "hh", "g": "h", "i": "mm", "s": "ss", "v": "SSS", "u": "SSSSSS",

@@ -203,3 +203,22 @@ def test_errors_of_unknown_verbs(people):
     with pytest.raises(ValueError):
         people.mode("sometimes")
     assert isinstance(people.groupBy("id").aggregate(fn.count("id")), Frame)
+
+
+def test_collection_verbs(spark, people):
+    assert people.take(2).count() == 2 and people.sort_ascending("age").skip(4).fetch()[0].id == "d" and people.reverse("age").fetch()[0].id == "d"
+    assert sorted(r.id for r in people.remove(0, "age").fetch()) == ["b", "c", "d", "e"] and people.sort_entries().columns == ["age", "country", "id"]
+    assert not people.is_partitioned and people.partition_by("country").is_partitioned and len(people.to_array()) == 5 and len(list(people.chunks(3))) == 2
+    dated = from_array(spark, [{"d": dt.datetime(2024, 1, 1, 10), "l": [1]}, {"d": dt.datetime(2024, 1, 1, 11), "l": [1]}])
+    assert [r.d for r in dated.partition_values("d").fetch()] == ["2024-01-01"]
+    with pytest.raises(TypeError):
+        dated.partition_values("l")
+
+
+def test_type_constructors():
+    from tessera import schema as s
+
+    kind = s.struct_type(s.struct_element("a", s.type_int()), s.struct_element("m", s.type_map(s.type_string(), s.type_list(s.type_float()))))
+    assert kind.simpleString() == "struct<a:bigint,m:map<string,array<double>>>"
+    with pytest.raises(ValueError):
+        s.struct_type()
