@@ -15,16 +15,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, shuffle_partitions
+from .common import Workspace, fits, shuffle_partitions
 
 #: Words of the k-gram whose least hash names a shard.
 GRAM = 8
-#: The filter's bits: 32 MB at any size of the corpus. A fuller filter lets more contexts through, and loses none.
-FILTER_BITS = 1 << 28
+#: The filter's bits: 16 MB at any size of the corpus. A fuller filter lets more contexts through, and loses none.
+FILTER_BITS = 1 << 27
 #: Shards of more distinct contexts than this are counted window by window instead, spread over all tasks.
 SHARD_CONTEXTS = 2000
 #: At most so many rows go out as a broadcast.
 BROADCAST_ROWS = 500_000
+#: The same for rows that hold lists of spans.
+BROADCAST_LISTS = 100_000
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -56,7 +58,7 @@ class Windows:
         known, out = self.known, []
         for w in words:
             if (h := known.get(w)) is None:
-                if len(known) >= 400_000:
+                if len(known) >= 200_000:
                     known.clear()
                 known[w] = h = xxhash.xxh64_intdigest(w, 11)
             out.append(h)
@@ -209,7 +211,7 @@ def _repeated_minimisers(rows: DataFrame, window: int) -> DataFrame:
 
 def _filter_places(mh: np.ndarray) -> np.ndarray:
     x = mh.view(np.uint64)
-    return np.stack([x >> np.uint64(36), (x * np.uint64(0x94D049BB133111EB)) >> np.uint64(36)]).astype(np.int64)
+    return np.stack([x >> np.uint64(37), (x * np.uint64(0x94D049BB133111EB)) >> np.uint64(37)]).astype(np.int64)
 
 
 def _build_filter(repeated: DataFrame) -> np.ndarray:
@@ -270,7 +272,7 @@ def _contexts(rows: DataFrame, bits, window: int) -> DataFrame:
                             held += len(text)
                         else:
                             got[0] += 1
-                if held > 64 << 20:  # the words of a task's contexts stay bounded; a context may then go out twice
+                if held > 16 << 20:  # the words of a task's contexts stay bounded; a context may then go out twice
                     yield texts()
                     held = 0
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=names)
@@ -365,8 +367,8 @@ def repeated_spans(ws: Workspace, rows: DataFrame, window: int) -> DataFrame:
     return ws.table(back.groupBy("rid").agg(F.flatten(F.collect_set("spans")).alias("spans")), "rows")
 
 
-def _fits(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    return fits(df, rows)
 
 
 def covered(n: int, flat: list[int] | None) -> np.ndarray:
@@ -402,7 +404,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], names=["doc_id", "rid", "n_words", "n_removed", "kept"])
 
-    joined = whole.join(marks, "rid", "left").select("doc_id", "rid", "text", "spans")
+    joined = whole.join(_fits(marks, BROADCAST_LISTS), "rid", "left").select("doc_id", "rid", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, rid long, n_words long, n_removed long, kept string")
 
 
@@ -413,7 +415,7 @@ def strip_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marks = repeated_spans(ws, docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), text.alias("text")), window)
     marks = marks.select(F.col("rid").alias("_tessera_rid"), F.col("spans").alias("_tessera_spans"))
-    joined = docs.withColumn("_tessera_rid", F.xxhash64(F.col(id_col), text)).join(marks, "_tessera_rid", "left").select(*docs.columns, "_tessera_spans")
+    joined = docs.withColumn("_tessera_rid", F.xxhash64(F.col(id_col), text)).join(_fits(marks, BROADCAST_LISTS), "_tessera_rid", "left").select(*docs.columns, "_tessera_spans")
     at = docs.columns.index(text_col)
 
     def run(batches):

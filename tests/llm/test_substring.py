@@ -43,7 +43,6 @@ def corpus():
 @pytest.mark.parametrize(("window", "crowd"), [(35, 2000), (35, 3), (10, 2000), (10, 2)])
 def test_removal_equals_brute_force(spark, monkeypatch, window, crowd):
     monkeypatch.setattr(substring, "SHARD_CONTEXTS", crowd)
-    monkeypatch.setattr(substring, "FILTER_BITS", 1 << 28)
     rows = corpus()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, mh int").repartition(5)
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(docs, window).collect()]
