@@ -37,11 +37,14 @@ def _scan(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray
     n = len(e)
     steps = -(-n // min(LANES, n))
     lanes = -(-n // steps)
-    m = np.zeros((lanes * steps, 2, 2))
-    m[:n, :, 0] = np.where(first[:, None], start[0], trans[:, 0])
-    m[:n, :, 1] = np.where(first[:, None], start[1], trans[:, 1]) + e[:, None]
-    m[:n] = np.exp(m[:n] - m[:n].max(axis=(1, 2), keepdims=True))
+    m = np.empty((lanes * steps, 2, 2))
     m[n:] = np.eye(2)
+    head = m[:n]
+    head[:, :, 0] = np.where(first[:, None], start[0], trans[:, 0])
+    head[:, :, 1] = np.where(first[:, None], start[1], trans[:, 1])
+    head[:, :, 1] += e[:, None]
+    head -= head.max(axis=(1, 2), keepdims=True)
+    np.exp(head, out=head)
     m = np.ascontiguousarray(m.reshape(lanes, steps, 2, 2).transpose(1, 2, 3, 0))  # [step, from, to, lane]
 
     def product(a, b):
@@ -151,10 +154,14 @@ def _tagger(texts: list[str], labels: list[int]) -> Model:
     owned = [[names.setdefault(f, len(names)) for f in features(w)] for w in vocab]
     width = max(map(len, owned))
     table = np.array([o + [-1] * (width - len(o)) for o in owned])  # -1: none
-    pairs = np.unique(np.stack([np.repeat(doc_of, width), table[ids].reshape(-1)]), axis=1)
-    pairs = pairs[:, pairs[1] >= 0]
-    seen = np.bincount(pairs[1], minlength=len(names))
-    toxic = np.bincount(pairs[1], weights=y[pairs[0]], minlength=len(names))
+    in_doc = np.unique(doc_of * len(vocab) + ids)  # the distinct words of each document, then their distinct features
+    pairs = np.repeat(in_doc // len(vocab) * (len(names) + 1), width) + table[in_doc % len(vocab)].reshape(-1) + 1
+    pairs = np.unique(pairs)
+    doc, feature = pairs // (len(names) + 1), pairs % (len(names) + 1) - 1
+    doc, feature = doc[feature >= 0], feature[feature >= 0]
+    seen = np.bincount(feature, minlength=len(names))
+    toxic = np.bincount(feature, weights=y[doc], minlength=len(names))
+    del in_doc, pairs, doc, feature
     marks = (seen >= MARK_DOCS) & ((toxic + 0.5) / (seen + 1) >= MARK_SHARE)
     used = seen >= 3
     marked = (np.append(marks, False)[table]).any(axis=1)
@@ -171,9 +178,11 @@ def _tagger(texts: list[str], labels: list[int]) -> Model:
         fore, aft = _scan(e, first, trans, start)
         p = fore * aft
         p = p[:, 1] / p.sum(axis=1)
-        step = np.exp(trans)[None] * np.stack([np.ones(len(e)), np.exp(np.clip(e, -40, 40))], axis=1)[:, None, :]
-        both = fore[:-1, :, None] * step[1:] * aft[1:, None, :]
-        both = (both / both.sum(axis=(1, 2), keepdims=True))[~first[1:]].sum(axis=0)
+        weight = [np.ones(len(e) - 1), np.exp(np.clip(e[1:], -40, 40))]
+        cells = [[fore[:-1, i] * np.exp(trans[i, j]) * weight[j] * aft[1:, j] for j in (0, 1)] for i in (0, 1)]
+        inner = ~first[1:]
+        each = 1 / (cells[0][0] + cells[0][1] + cells[1][0] + cells[1][1])[inner]
+        both = np.array([[cells[i][j][inner] @ each for j in (0, 1)] for i in (0, 1)])
         g_word = np.bincount(ids, weights=target - p, minlength=len(vocab))
         grads = [np.zeros_like(w), (target - p).sum(), truth - both, begins - np.array([(1 - p)[first].sum(), p[first].sum()])]
         grads[0] = np.bincount(np.where(table < 0, len(names), table).reshape(-1), weights=np.repeat(g_word, width), minlength=len(w)) - DECAY * len(texts) * w
@@ -276,14 +285,14 @@ def _bounded(batch: pa.RecordBatch, at: int):
 
 
 class Tagger:
-    """Scores texts with a model; remembers the emissions of up to half a million words."""
+    """Scores texts with a model; remembers the emissions of up to a quarter of a million words."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
 
     def look(self, word: str) -> float:
         if (got := self.known.get(word)) is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 250_000:
                 self.known.clear()
             self.known[word] = got = self.model.emission(word.lower())
         return got
