@@ -21,6 +21,8 @@ TRAIN_DOCS = 1500
 MARK_DOCS, MARK_SHARE = 8, 0.93
 ROUNDS, RATE, DECAY = 60, 0.5, 1e-4
 LANES = 1024
+#: Words of the training texts that are worked on at once, about.
+PART = 150_000
 CALIBRATE = 3
 WORD = re.compile(r"\w+")
 
@@ -154,19 +156,21 @@ def _tagger(texts: list[str], labels: list[int]) -> Model:
     owned = [[names.setdefault(f, len(names)) for f in features(w)] for w in vocab]
     width = max(map(len, owned))
     table = np.array([o + [-1] * (width - len(o)) for o in owned])  # -1: none
-    in_doc = np.unique(doc_of * len(vocab) + ids)  # the distinct words of each document, then their distinct features
-    pairs = np.repeat(in_doc // len(vocab) * (len(names) + 1), width) + table[in_doc % len(vocab)].reshape(-1) + 1
-    pairs = np.unique(pairs)
-    doc, feature = pairs // (len(names) + 1), pairs % (len(names) + 1) - 1
-    doc, feature = doc[feature >= 0], feature[feature >= 0]
-    seen = np.bincount(feature, minlength=len(names))
-    toxic = np.bincount(feature, weights=y[doc], minlength=len(names))
-    del in_doc, pairs, doc, feature
+    first = np.append(True, doc_of[1:] != doc_of[:-1])
+    starts = np.flatnonzero(first)
+    cuts = [0, *(int(c) for c in starts[np.flatnonzero(np.diff(starts // PART)) + 1]), len(ids)]  # parts of whole documents bound the memory
+    parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+    seen, toxic = np.zeros(len(names)), np.zeros(len(names))
+    for part in parts:
+        in_doc = np.unique(doc_of[part] * len(vocab) + ids[part])  # the distinct words of each document, then their distinct features
+        pairs = np.unique(np.repeat(in_doc // len(vocab) * (len(names) + 1), width) + table[in_doc % len(vocab)].reshape(-1) + 1)
+        doc, feature = pairs // (len(names) + 1), pairs % (len(names) + 1) - 1
+        seen += np.bincount(feature[feature >= 0], minlength=len(names))
+        toxic += np.bincount(feature[feature >= 0], weights=y[doc[feature >= 0]], minlength=len(names))
     marks = (seen >= MARK_DOCS) & ((toxic + 0.5) / (seen + 1) >= MARK_SHARE)
     used = seen >= 3
     marked = (np.append(marks, False)[table]).any(axis=1)
     target = (marked[ids] & (y[doc_of] == 1)).astype(float)
-    first = np.append(True, doc_of[1:] != doc_of[:-1])
     w, bias, trans, start = np.zeros(len(names) + 1), -3.0, np.zeros((2, 2)), np.zeros(2)
     sums = [np.full_like(w, 1e-6), 1e-6, np.full((2, 2), 1e-6), np.full(2, 1e-6)]
     truth = np.zeros((2, 2))
@@ -174,15 +178,17 @@ def _tagger(texts: list[str], labels: list[int]) -> Model:
     begins = np.bincount(target[first].astype(int), minlength=2)
     live = np.append(used, False)
     for _ in range(ROUNDS):
-        e = (bias + np.where(live[table], w[table], 0).sum(axis=1))[ids]
-        fore, aft = _scan(e, first, trans, start)
-        p = fore * aft
-        p = p[:, 1] / p.sum(axis=1)
-        weight = [np.ones(len(e) - 1), np.exp(np.clip(e[1:], -40, 40))]
-        cells = [[fore[:-1, i] * np.exp(trans[i, j]) * weight[j] * aft[1:, j] for j in (0, 1)] for i in (0, 1)]
-        inner = ~first[1:]
-        each = 1 / (cells[0][0] + cells[0][1] + cells[1][0] + cells[1][1])[inner]
-        both = np.array([[cells[i][j][inner] @ each for j in (0, 1)] for i in (0, 1)])
+        by_word = bias + np.where(live[table], w[table], 0).sum(axis=1)
+        p, both = np.empty(len(ids)), np.zeros((2, 2))
+        for part in parts:
+            e = by_word[ids[part]]
+            fore, aft = _scan(e, first[part], trans, start)
+            p[part] = fore[:, 1] * aft[:, 1] / (fore * aft).sum(axis=1)
+            weight = [np.ones(len(e) - 1), np.exp(np.clip(e[1:], -40, 40))]
+            cells = [[fore[:-1, i] * np.exp(trans[i, j]) * weight[j] * aft[1:, j] for j in (0, 1)] for i in (0, 1)]
+            inner = ~first[part][1:]
+            each = 1 / (cells[0][0] + cells[0][1] + cells[1][0] + cells[1][1])[inner]
+            both += np.array([[cells[i][j][inner] @ each for j in (0, 1)] for i in (0, 1)])
         g_word = np.bincount(ids, weights=target - p, minlength=len(vocab))
         grads = [np.zeros_like(w), (target - p).sum(), truth - both, begins - np.array([(1 - p)[first].sum(), p[first].sum()])]
         grads[0] = np.bincount(np.where(table < 0, len(names), table).reshape(-1), weights=np.repeat(g_word, width), minlength=len(w)) - DECAY * len(texts) * w
