@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, connected_components, fits, shuffle_partitions
@@ -382,19 +382,36 @@ def near_duplicates(docs: DataFrame, shingle: int | None = 4, distance: int = 4,
 SETTLED = 200
 
 
+#: Other documents of a large component that meet its leaders in one task.
+CHUNK = 400
+
+
 def _settle(similarity: float):
-    """Leaders of one component: in order of doc_id, a document that is similar to an earlier leader goes, another becomes one."""
+    """(component_id, doc_id, leader) of one component: in order of doc_id, a document that is similar to an earlier leader goes, another becomes one."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
-        leaders, gone = [], []
-        for doc, sh in zip(table["doc_id"].to_pylist(), table["sh"]):
+        leaders, leads = [], []
+        for sh in table["sh"]:
             mine = sh.values.to_numpy()
-            if any(_similar(mine, other, similarity) for other in leaders):
-                gone.append(doc)
-            else:
+            leads.append(not any(_similar(mine, other, similarity) for other in leaders))
+            if leads[-1]:
                 leaders.append(mine)
-        return pa.table({"doc_id": pa.array(gone, pa.int64())})
+        return table.select(["component_id", "doc_id"]).append_column("leader", pa.array(leads, pa.bool_()))
+
+    return run
+
+
+def _against_leaders(similarity: float):
+    """(component_id, doc_id, close) of a chunk of a component that has its leaders among its rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        leads = table["leader"].to_pylist()
+        sets = [x.values.to_numpy() for x in table["sh"]]
+        leaders = [x for x, lead in zip(sets, leads) if lead]
+        rest = [i for i, lead in enumerate(leads) if not lead]
+        close = [any(_similar(sets[i], other, similarity) for other in leaders) for i in rest]
+        return table.select(["component_id", "doc_id"]).take(pa.array(rest, pa.int64())).append_column("close", pa.array(close, pa.bool_()))
 
     return run
 
@@ -411,8 +428,8 @@ def near_copies(docs: DataFrame, distance: int = 7, shingle: int = 5, similarity
 
     Candidates are components of word fingerprints within ``distance`` bits. In each the document of least doc_id leads; those similar
     to it go, and the rest has a leader of its own, until none is left: no two kept documents of a component are
-    similar. Small components are settled in a task each; large ones lose their leader's copies in rounds of one join, never
-    gathered. Null texts and texts without words equal one another. Rows of one doc_id are one document.
+    similar. Small components are settled in a task each; of a large one the SETTLED least are, and its other documents meet these leaders in chunks over
+    many tasks, again until few are left: no task ever holds a whole large component. Null texts and texts without words equal one another. Rows of one doc_id are one document.
     """
     ws = Workspace(docs.sparkSession, "copies")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -432,20 +449,28 @@ def near_copies(docs: DataFrame, distance: int = 7, shingle: int = 5, similarity
     placed = members.join(first, ["component_id", "same"])
     gone = [ws.table(placed.where("doc_id <> least").select("doc_id"), "equal")]
     left = ws.table(placed.where("doc_id = least").select("component_id", "doc_id", "sh").dropDuplicates(["component_id", "doc_id"]), "different")
+    settled = "component_id long, doc_id long, leader boolean"
     while True:
-        sizes = left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("leader"))
-        sizes = ws.table(sizes.where("n > 1"), "sizes")
+        sizes = ws.table(left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         small = left.join(sizes.where(F.col("n") <= SETTLED).select("component_id"), "component_id", "left_semi")
-        gone.append(ws.table(small.groupBy("component_id").applyInArrow(_settle(similarity), "doc_id long"), "settled"))
-        large = sizes.where(F.col("n") > SETTLED).select("component_id", "leader")
+        done = ws.table(small.groupBy("component_id").applyInArrow(_settle(similarity), settled), "settled")
+        gone.append(done.where("not leader").select("doc_id"))
+        large = ws.table(sizes.where(F.col("n") > SETTLED).select("component_id", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "large")
         if large.isEmpty():
             break
-        leaders = ws.table(left.join(large.select("component_id", F.col("leader").alias("doc_id")), ["component_id", "doc_id"]).select("component_id", F.col("doc_id").alias("leader"), F.col("sh").alias("lead")), "leaders")
-        both = F.size(F.array_intersect("sh", "lead"))
-        close = both >= F.lit(similarity) * (F.size("sh") + F.size("lead") - both)
-        compared = ws.table(left.join(leaders, "component_id").where("doc_id <> leader").select("component_id", "doc_id", "sh", close.alias("close")), "compared")
+        order = Window.partitionBy("component_id").orderBy("doc_id")
+        part = left.join(large, "component_id")
+        head = ws.table(part.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SETTLED).drop("nth"), "head")
+        heads = ws.table(head.groupBy("component_id").applyInArrow(_settle(similarity), settled), "leaders")
+        gone.append(heads.where("not leader").select("doc_id"))
+        leaders = head.join(heads.where("leader"), ["component_id", "doc_id"])
+        leaders = leaders.select("component_id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "leader", "sh")
+        rest = part.join(heads, ["component_id", "doc_id"], "left_anti")
+        rest = ws.table(rest.select("component_id", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", F.lit(False).alias("leader"), "sh"), "rest")
+        compared = rest.unionByName(leaders).groupBy("component_id", "chunk").applyInArrow(_against_leaders(similarity), "component_id long, doc_id long, close boolean")
+        compared = ws.table(compared, "compared")
         gone.append(compared.where("close").select("doc_id"))
-        left = compared.where("not close").select("component_id", "doc_id", "sh")
+        left = ws.table(rest.join(compared.where("not close"), ["component_id", "doc_id"]).select("component_id", "doc_id", "sh"), "left")
     out = gone[0]
     for g in gone[1:]:
         out = out.unionByName(g)

@@ -27,6 +27,7 @@ def jaccard(a, b):
 @pytest.mark.parametrize("settled", [200, 3])
 def test_leaders_stand_for_their_copies(spark, monkeypatch, settled):
     monkeypatch.setattr(simhash, "SETTLED", settled)
+    monkeypatch.setattr(simhash, "CHUNK", 4)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, sh string, same int").repartition(4)
     gone = {r.doc_id for r in simhash.near_copies(docs).collect()}
