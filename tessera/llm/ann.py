@@ -85,7 +85,12 @@ class Block:
 
     def _verify(self, qi, ci, cid, cx, norm) -> None:
         score = (self.x[qi] * cx[ci]).sum(axis=1) / (self.q.norm[qi] * norm[ci])
-        for q, s, i in zip(qi.tolist(), score.tolist(), cid[ci].tolist()):
+        ids = cid[ci]
+        order = np.lexsort((ids, -score, qi))  # of many equal scores only the k smallest ids can stay
+        first = np.append(True, qi[order][1:] != qi[order][:-1])
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        best = order[place < self.k]
+        for q, s, i in zip(qi[best].tolist(), score[best].tolist(), ids[best].tolist()):
             heap, item = self.heaps[q], (s, -i)
             if len(heap) < self.k:
                 heapq.heappush(heap, item)
