@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, connected_components, fits, shuffle_partitions
@@ -387,23 +387,23 @@ CHUNK = 400
 
 
 def _settle(similarity: float):
-    """(component_id, doc_id, leader) of one component: in order of doc_id, a document that is similar to an earlier leader goes, another becomes one."""
+    """(component_id, rid, leader) of one component: in order of doc_id, a document that is similar to an earlier leader goes, another becomes one."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
+        table = table.sort_by([("no_id", "ascending"), ("doc_id", "ascending"), ("rid", "ascending")])
         leaders, leads = [], []
         for sh in table["sh"]:
             mine = sh.values.to_numpy()
             leads.append(not any(_similar(mine, other, similarity) for other in leaders))
             if leads[-1]:
                 leaders.append(mine)
-        return table.select(["component_id", "doc_id"]).append_column("leader", pa.array(leads, pa.bool_()))
+        return table.select(["component_id", "rid"]).append_column("leader", pa.array(leads, pa.bool_()))
 
     return run
 
 
 def _against_leaders(similarity: float):
-    """(component_id, doc_id, close) of a chunk of a component that has its leaders among its rows."""
+    """(component_id, rid, close) of a chunk of a component that has its leaders among its rows."""
 
     def run(table: pa.Table) -> pa.Table:
         leads = table["leader"].to_pylist()
@@ -411,7 +411,7 @@ def _against_leaders(similarity: float):
         leaders = [x for x, lead in zip(sets, leads) if lead]
         rest = [i for i, lead in enumerate(leads) if not lead]
         close = [any(_similar(sets[i], other, similarity) for other in leaders) for i in rest]
-        return table.select(["component_id", "doc_id"]).take(pa.array(rest, pa.int64())).append_column("close", pa.array(close, pa.bool_()))
+        return table.select(["component_id", "rid"]).take(pa.array(rest, pa.int64())).append_column("close", pa.array(close, pa.bool_()))
 
     return run
 
@@ -423,58 +423,66 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The key of a row's document: rows alike in id and text share it, and rows without an id are told apart by their texts."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def near_copies(docs: DataFrame, distance: int = 7, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id) of the documents that a kept one stands for: equal in text, or of a shingle similarity (Jaccard) of at least ``similarity``.
+    """(doc_id, rid) of the documents that a kept one stands for: equal in text, or of a shingle similarity (Jaccard) of at least ``similarity``.
 
     Candidates are components of word fingerprints within ``distance`` bits. In each the document of least doc_id leads; those similar
     to it go, and the rest has a leader of its own, until none is left: no two kept documents of a component are
     similar. Small components are settled in a task each; of a large one the SETTLED least are, and its other documents meet these leaders in chunks over
-    many tasks, again until few are left: no task ever holds a whole large component. Null texts and texts without words equal one another. Rows of one doc_id are one document.
+    many tasks, again until few are left: no task ever holds a whole large component. Null texts and texts without words equal one another.
+    A document is known by its ``row_key`` (rid): rows alike in id and text are one document, rows of one id and different texts are several. Documents without an id come after all others.
     """
     ws = Workspace(docs.sparkSession, "copies")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = near_duplicates(docs, None, distance, id_col, text_col)
+    rows = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    found = near_duplicates(rows, None, distance, "rid").select(F.col("doc_id").alias("rid"), "component_id").distinct()
     crowded = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
-    found = ws.table(found.join(ws.table(crowded, "crowded"), "component_id").select("doc_id", "component_id"), "members")
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(fits(found, COPY_IDS), "doc_id")
+    found = ws.table(found.join(ws.table(crowded, "crowded"), "component_id").select("rid", "component_id"), "members")
+    held = rows.join(fits(found, COPY_IDS), "rid")
 
     def shingled(batches):
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["component_id", "doc_id", "same", "sh"])
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["component_id", "rid", "doc_id", "same", "sh"])
 
-    members = held.select("component_id", "doc_id", "text").mapInArrow(shingled, "component_id long, doc_id long, same long, sh array<long>")
-    members = ws.table(members, "shingles")
-    first = ws.table(members.groupBy("component_id", "same").agg(F.min("doc_id").alias("least")), "firsts")
+    members = held.select("component_id", "rid", "doc_id", "text").mapInArrow(shingled, "component_id long, rid long, doc_id long, same long, sh array<long>")
+    members = ws.table(members.withColumn("no_id", F.col("doc_id").isNull()), "shingles")
+    place = ("no_id", "doc_id", "rid")
+    first = ws.table(members.groupBy("component_id", "same").agg(F.min(F.struct(*place)).alias("least")), "firsts")
     placed = members.join(first, ["component_id", "same"])
-    gone = [ws.table(placed.where("doc_id <> least").select("doc_id"), "equal")]
-    left = ws.table(placed.where("doc_id = least").select("component_id", "doc_id", "sh").dropDuplicates(["component_id", "doc_id"]), "different")
-    settled = "component_id long, doc_id long, leader boolean"
+    gone = [ws.table(placed.where("rid <> least.rid").select("rid"), "equal")]
+    left = ws.table(placed.where("rid = least.rid").select("component_id", *place, "sh").dropDuplicates(["component_id", "rid"]), "different")
+    settled = "component_id long, rid long, leader boolean"
     while True:
         sizes = ws.table(left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         small = left.join(sizes.where(F.col("n") <= SETTLED).select("component_id"), "component_id", "left_semi")
         done = ws.table(small.groupBy("component_id").applyInArrow(_settle(similarity), settled), "settled")
-        gone.append(done.where("not leader").select("doc_id"))
+        gone.append(done.where("not leader").select("rid"))
         large = ws.table(sizes.where(F.col("n") > SETTLED).select("component_id", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "large")
         if large.isEmpty():
             break
-        order = Window.partitionBy("component_id").orderBy("doc_id")
+        order = Window.partitionBy("component_id").orderBy(*place)
         part = left.join(large, "component_id")
         head = ws.table(part.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SETTLED).drop("nth"), "head")
         heads = ws.table(head.groupBy("component_id").applyInArrow(_settle(similarity), settled), "leaders")
-        gone.append(heads.where("not leader").select("doc_id"))
-        leaders = head.join(heads.where("leader"), ["component_id", "doc_id"])
-        leaders = leaders.select("component_id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "leader", "sh")
-        rest = part.join(heads, ["component_id", "doc_id"], "left_anti")
-        rest = ws.table(rest.select("component_id", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", F.lit(False).alias("leader"), "sh"), "rest")
-        compared = rest.unionByName(leaders).groupBy("component_id", "chunk").applyInArrow(_against_leaders(similarity), "component_id long, doc_id long, close boolean")
+        gone.append(heads.where("not leader").select("rid"))
+        leaders = head.join(heads.where("leader"), ["component_id", "rid"])
+        leaders = leaders.select("component_id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *place, "leader", "sh")
+        rest = part.join(heads, ["component_id", "rid"], "left_anti")
+        rest = ws.table(rest.select("component_id", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int").alias("chunk"), *place, F.lit(False).alias("leader"), "sh"), "rest")
+        compared = rest.unionByName(leaders).groupBy("component_id", "chunk").applyInArrow(_against_leaders(similarity), "component_id long, rid long, close boolean")
         compared = ws.table(compared, "compared")
-        gone.append(compared.where("close").select("doc_id"))
-        left = ws.table(rest.join(compared.where("not close"), ["component_id", "doc_id"]).select("component_id", "doc_id", "sh"), "left")
+        gone.append(compared.where("close").select("rid"))
+        left = ws.table(rest.join(compared.where("not close"), ["component_id", "rid"]).select("component_id", *place, "sh"), "left")
     out = gone[0]
     for g in gone[1:]:
         out = out.unionByName(g)
-    return out.distinct()
+    return members.select("rid", "doc_id").distinct().join(out.distinct(), "rid").select("doc_id", "rid")
 
 
 #: At most so many document ids go out as a broadcast.
