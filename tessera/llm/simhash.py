@@ -428,10 +428,120 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+#: Documents whose shingles say which are common, and how often one of these occurs among them.
+SAMPLE, COMMON = 20_000, 4
+#: At most so many common shingles are known to all tasks.
+COMMON_SHINGLES = 1 << 17
+#: Two similar documents share this many of their prefix shingles, or all that the shorter bound leaves.
+SHARED = 3
+
+
+def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that are common in a sample of documents, ascending, and their counts. They only order the shingles: any
+    counts give the same pairs."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], names=["key"])
+
+    n = max(1, rows.count())
+    sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(n)) < SAMPLE).select("text").mapInArrow(run, "key long")
+    counts = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "key").limit(COMMON_SHINGLES).toArrow()
+    keys, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def prefix(sh: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest of a document's n distinct shingles, so many that two documents of the similarity share SHARED of these: they have
+    at least similarity * n shingles in common, so all but n less that many can be left out, SHARED - 1 more taken in."""
+    keys, counts = common
+    both = int(np.ceil(similarity * len(sh) - 1e-9))
+    rank = np.zeros(len(sh), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, sh), len(keys) - 1)
+        rank = np.where(keys[at] == sh, counts[at], 0)
+    return sh[np.lexsort((sh, rank))[: len(sh) - both + min(SHARED, both)]]
+
+
+def _alike(ws: Workspace, rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v, ru, rv) of documents that have the similarity. Only documents in a pair are read for it."""
+    wanted = ws.table(pairs.select(F.col("u").alias("rid")).union(pairs.select("v")).distinct(), "wanted")
+
+    def shingled(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rid", "sh"])
+
+    def compare(batches):
+        for b in batches:
+            a, c = b.column(4), b.column(5)
+            keep = [_similar(x.values.to_numpy(), y.values.to_numpy(), similarity) for x, y in zip(a, c)]
+            yield pa.RecordBatch.from_arrays(b.columns[:4], names=b.schema.names[:4]).filter(pa.array(keep, pa.bool_()))
+
+    sets = rows.join(fits(wanted, COPY_IDS), "rid", "left_semi").dropDuplicates(["rid"]).select("rid", "text").mapInArrow(shingled, "rid long, sh array<long>")
+    sets = ws.table(sets, "sets")
+    joined = pairs.join(sets.select(F.col("rid").alias("u"), F.col("sh").alias("su")), "u").join(sets.select(F.col("rid").alias("v"), F.col("sh").alias("sv")), "v")
+    return ws.table(joined.select("u", "v", "ru", "rv", "su", "sv").mapInArrow(compare, "u long, v long, ru long, rv long"), "alike")
+
+
+def _moved(df: DataFrame, top: DataFrame) -> DataFrame:
+    """``df`` with each root that ``top`` (node, root) knows replaced."""
+    return df.join(top.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").withColumn("root", F.coalesce("_top", "root")).drop("_top")
+
+
+def shared_components(ws: Workspace, rows: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``found`` (rid, component_id) with components joined so that all pairs of ``rows`` (rid, text) of the similarity are within one.
+
+    Exact prefix filter: a pair of the similarity shares SHARED of its prefixes' shingles. Only pairs of different components matter: first every document meets the
+    least one of each of its shingles; then, where a shingle still has several components, those outside its largest component meet all of other ones.
+    """
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))
+
+    def run(batches):
+        for b in batches:
+            keys, rids, sizes = [np.empty(0, np.int64)], [], []
+            for rid, t in zip(b.column(0).to_pylist(), b.column(1)):
+                sh = np.unique(shingle_hashes(t.as_py(), shingle))
+                mine = prefix(sh, common.value, similarity)
+                keys.append(mine.view(np.int64)), rids.append(np.full(len(mine), rid, np.int64)), sizes.append(np.full(len(mine), len(sh), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate([*rids, np.empty(0, np.int64)])), pa.array(np.concatenate([*sizes, np.empty(0, np.int32)]))], names=["key", "rid", "n"])
+
+    keyed = ws.table(rows.select("rid", "text").mapInArrow(run, "key long, rid long, n int"), "prefixes")
+    again = ws.table(keyed.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("key"), "again")
+    named = keyed.join(fits(again, COPY_IDS), "key").distinct().join(found, "rid").select("key", "rid", "n", F.col("component_id").alias("root"))
+    named = ws.table(named, "named")
+    ws.drop(keyed)
+    sized = (F.col("nu") >= F.col("nv") * F.lit(similarity) - F.lit(1e-6)) & (F.col("nv") >= F.col("nu") * F.lit(similarity) - F.lit(1e-6))
+    least = named.groupBy("key").agg(F.min(F.struct("n", "rid", "root")).alias("low"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key", "low")
+    least = ws.table(least, "least")
+    stars = named.join(least, "key").select(F.col("rid").alias("u"), F.col("low.rid").alias("v"), F.col("root").alias("ru"), F.col("low.root").alias("rv"), F.col("n").alias("nu"), F.col("low.n").alias("nv"))
+    stars = ws.table(stars.where((F.col("ru") != F.col("rv")) & sized).select("u", "v", "ru", "rv").distinct(), "stars")
+    first = _alike(ws, rows, stars, shingle, similarity)
+    top = ws.table(connected_components(ws, first.select(F.col("ru").alias("u"), F.col("rv").alias("v"))), "joined")
+    named = ws.table(_moved(named.join(least.select("key"), "key", "left_semi"), top), "renamed")
+    per = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = per.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    mixed = ws.table(named.join(ws.table(main.select("key", "main"), "mixed"), "key"), "several")
+    a = mixed.where("root <> main").select("key", F.col("rid").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
+    b = mixed.select("key", F.col("rid").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"), "main")
+    pairs = a.join(b, (a.key == b.key) & (F.col("ru") != F.col("rv")) & ((F.col("rv") == F.col("main")) | (F.col("u") > F.col("v"))) & sized)
+    pairs = pairs.select(F.greatest("u", "v").alias("p"), F.least("u", "v").alias("q"), F.when(F.col("u") > F.col("v"), F.col("ru")).otherwise(F.col("rv")).alias("ru"), F.when(F.col("u") > F.col("v"), F.col("rv")).otherwise(F.col("ru")).alias("rv"), F.least("nu", "nv").alias("n"))
+    counted = pairs.groupBy(F.col("p").alias("u"), F.col("q").alias("v"), "ru", "rv", "n").agg(F.count(F.lit(1)).alias("c"))
+    enough = F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)))
+    rest = _alike(ws, rows, ws.table(counted.where(enough).select("u", "v", "ru", "rv"), "rest"), shingle, similarity)
+    more = ws.table(connected_components(ws, rest.select(F.col("ru").alias("u"), F.col("rv").alias("v"))), "more")
+    found = _moved(_moved(found.withColumnRenamed("component_id", "root"), top), more)
+    return ws.table(found.select("rid", F.col("root").alias("component_id")), "components")
+
+
 def near_copies(docs: DataFrame, distance: int = 7, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rid) of the documents that a kept one stands for: equal in text, or of a shingle similarity (Jaccard) of at least ``similarity``.
 
-    Candidates are components of word fingerprints within ``distance`` bits. In each the document of least doc_id leads; those similar
+    Candidates are components of word fingerprints within ``distance`` bits, joined further by every pair of the similarity that two of
+    them hold (``shared_components``): all similar documents are in one component. In each the document of least doc_id leads; those similar
     to it go, and the rest has a leader of its own, until none is left: no two kept documents of a component are
     similar. Small components are settled in a task each; of a large one the SETTLED least are, and its other documents meet these leaders in chunks over
     many tasks, again until few are left: no task ever holds a whole large component. Null texts and texts without words equal one another.
@@ -440,7 +550,8 @@ def near_copies(docs: DataFrame, distance: int = 7, shingle: int = 5, similarity
     ws = Workspace(docs.sparkSession, "copies")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    found = near_duplicates(rows, None, distance, "rid").select(F.col("doc_id").alias("rid"), "component_id").distinct()
+    found = ws.table(near_duplicates(rows, None, distance, "rid").select(F.col("doc_id").alias("rid"), "component_id").distinct(), "found")
+    found = shared_components(ws, rows, found, shingle, similarity)
     crowded = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
     found = ws.table(found.join(ws.table(crowded, "crowded"), "component_id").select("rid", "component_id"), "members")
     held = rows.join(fits(found, COPY_IDS), "rid")

@@ -44,3 +44,21 @@ def test_leaders_stand_for_their_copies(spark, monkeypatch, settled):
 
 def test_empty(spark):
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["tail", "run", "scattered"])
+def test_all_pairs_of_the_similarity_are_met(spark, kind):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"word{i}" for i in range(6000)]
+    texts = []
+    for k in range(60):
+        base = rng.choice(vocabulary, 200).tolist()
+        other, n = list(base), 17 + k % 5
+        at = {"tail": range(200 - n, 200), "run": range(60, 60 + n - 3), "scattered": rng.choice(np.arange(4, 196), 4, replace=False).tolist()}[kind]
+        for i in at:
+            other[i] = f"fresh{k}x{i}"
+        texts += [" ".join(base), " ".join(other)]
+    pairs = [i for i in range(0, 120, 2) if 0.8 <= jaccard(texts[i], texts[i + 1])]
+    assert len(pairs) >= 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.near_copies(docs).collect()} == {i + 1 for i in pairs}
