@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-#: Document frequencies are counted by hash in so many cells: 16 MB as integers, whatever the vocabulary.
-CELLS = 1 << 22
-#: The band: terms in this share of all documents.
-BAND = (5e-6, 0.05)
+#: The band: terms in this share of all documents. The lower end bounds the lexicon at any size of the corpus: a document's mean
+#: number of terms, over this share, is the most terms that can reach it (8 bytes each go out).
+BAND = (5e-5, 0.05)
 #: Lexicon subsets: COPIES independent orders of the terms; subset s of an order holds a term with probability 2 ** -s.
-COPIES, SCALES = 16, 16
-#: A subset counts for a document if it leaves it 1 to MOST terms: a longer list would change with any edit.
-MOST = 2
+COPIES, SCALES = 12, 13
+#: Distinct terms that one task counts before it sends its counts on.
+COUNTED = 1_000_000
+#: Hexadecimal digits of a subset's hash.
+DIGITS = 6
 #: ASCII letters in lower case, digits and bytes above 127 are parts of terms (fixed rule); the rest separates.
 TERM_BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isascii() and chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -46,32 +47,32 @@ class Hasher:
         return np.array(out, np.uint64)
 
 
-def count_cells(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """Documents per hash cell, and documents in all, over the whole corpus. Each task counts in one array, arrays are added by cell,
-    and at most CELLS sums reach the driver."""
+def lexicon(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Hashes of the terms in the band, ascending. Documents are counted for each term over the whole corpus: tasks add up what they
+    see, the counts meet by term, and only terms in the band, whose number BAND bounds, reach the driver."""
 
     def run(batches):
-        total, n, hasher = np.zeros(CELLS, np.int64), 0, Hasher()
+        hasher, held, size = Hasher(), [], 0
+
+        def counts():
+            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+
         for b in batches:
             for t in b.column(0):
-                n += 1
                 if terms := terms_of(t.as_py() or ""):
-                    total[hasher(list(terms)) % np.uint64(CELLS)] += 1
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1)), pa.array(np.append(total[cells], n))], names=["cell", "n"])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "cell long, n long")
-    summed = rows.groupBy("cell").agg(F.sum("n").alias("n")).select(F.col("cell").cast("int"), F.col("n").cast("long")).toArrow()
-    cell, n = summed["cell"].to_numpy(), summed["n"].to_numpy()
-    out = np.zeros(CELLS, np.int32)
-    out[cell[cell >= 0]] = np.minimum(n[cell >= 0], 2**31 - 1)
-    return out, int(n[cell == -1].sum())
-
+                    held.append(hasher(list(terms)))
+                    size += len(terms)
+                if size > COUNTED:
+                    yield counts()
+                    held, size = [], 0
+        yield counts()
 
-def in_band(counts: np.ndarray, documents: int) -> np.ndarray:
-    """The band as bits: half a MB to broadcast."""
-    low, high = BAND[0] * documents, max(BAND[1] * documents, 2)
-    return np.packbits((counts >= low) & (counts <= high))
+    n = docs.count()
+    low, high = BAND[0] * n, max(BAND[1] * n, 2)
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term long, n long")
+    kept = rows.groupBy("term").agg(F.sum("n").alias("n")).where((F.col("n") >= low) & (F.col("n") <= high)).select("term").toArrow()
+    return np.sort(kept["term"].to_numpy().view(np.uint64))
 
 
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"order", i) | 1 for i in range(COPIES)], np.uint64)
@@ -90,55 +91,50 @@ def _ranks(h: np.ndarray) -> np.ndarray:
     return _LEADING[(x >> np.uint64(64 - SCALES + 1)).astype(np.int64)]
 
 
-def fingerprint(text: str, band: np.ndarray, hasher: Hasher) -> str:
-    """``full`` and one entry ``order.scale.hash`` for each usable lexicon subset, joined by blanks.
+def fingerprint(text: str, lexicon: np.ndarray, hasher: Hasher) -> str:
+    """The hash of all the text's terms in the lexicon, and for each order the hashes (DIGITS hexadecimal digits each) of the terms that its
+    subsets leave, densest subset first, as far as they leave any; joined by blanks, an order without terms being ``-``.
 
-    full is the hash of all terms in the band; if the band has none of the text's terms, all its terms stand in, and for a text without
-    terms the text itself."""
+    Terms are distinct and sorted (by their hashes) before they are hashed. If the lexicon has none of the text's terms, all its
+    terms stand in, and for a text without terms the text itself."""
     terms = list(terms_of(text))
     if not terms:
         return "text-" + hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest()[:16]
-    h = hasher(terms)
-    cell = (h % np.uint64(CELLS)).astype(np.int64)
-    keep = (band[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-    if keep.any():
-        h = h[keep]
-        terms = [t for t, k in zip(terms, keep.tolist()) if k]
-    out = [f"{xxhash.xxh64_intdigest(np.sort(h).tobytes()):016x}"]  # in the order of their hashes
-    rank = _ranks(h)
-    n = len(terms)
-    if n > MOST + 1:
-        best = np.argpartition(rank, n - MOST - 1, axis=1)[:, n - MOST - 1 :]
-    else:
-        best = np.broadcast_to(np.arange(n), (COPIES, n))
-    at = np.take_along_axis(rank, best, axis=1)
-    order = np.argsort(-at, axis=1, kind="stable")
-    best, at = np.take_along_axis(best, order, axis=1).tolist(), np.take_along_axis(at, order, axis=1).tolist()
-    digest = xxhash.xxh32_intdigest
-    for c in range(COPIES):
-        for size in range(1, min(MOST, n) + 1):  # a subset of this size: the next term is not in it
-            if size == n or at[c][size - 1] > at[c][size]:
-                kept = terms[best[c][0]] if size == 1 else b" ".join(sorted([terms[i] for i in best[c][:size]]))
-                out.append(f"{c}.{size}.{digest(kept):08x}")
+    h = np.sort(hasher(terms))
+    if len(lexicon):
+        known = lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h
+        if known.any():
+            h = h[known]
+    digest = xxhash.xxh64_hexdigest
+    out = [digest(h.tobytes())]
+    for rank in _ranks(h):
+        out.append("".join([digest(h[rank >= s].tobytes())[:DIGITS] for s in range(1, int(rank.max()) + 1)]) or "-")
     return " ".join(out)
 
 
 def likeness(a: str, b: str) -> float:
-    """Entries that both have as a share of the shorter fingerprint; 1 for equal ones."""
+    """The share of orders with a subset that leaves both texts the same terms; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    x, y = set(a.split()), set(b.split())
-    return len(x & y) / min(len(x), len(y))
+    x, y = a.split()[1:], b.split()[1:]
+    if not x or not y:
+        return 0.0
+    same = 0
+    for p, q in zip(x, y):
+        n = min(len(p), len(q))  # equal at one subset, equal at each sparser one: the last that both have decides
+        same += n >= DIGITS and p[n - DIGITS : n] == q[n - DIGITS : n]
+    return same / COPIES
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of each text; null counts as empty, and empty texts are equal texts."""
-    band = docs.sparkSession.sparkContext.broadcast(in_band(*count_cells(docs, text_col)))
+    """(doc_id, fingerprint) of each text, a row for each row. Null counts as empty, and empty texts are equal texts; texts are fingerprinted
+    whole, however long. Other columns, whatever their names, are not read; an empty table gives no rows."""
+    known = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text_col))
 
     def run(batches):
         hasher = Hasher()
         for b in batches:
-            prints = [fingerprint(t or "", band.value, hasher) for t in b.column(1).to_pylist()]
+            prints = [fingerprint(t or "", known.value, hasher) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -199,8 +195,9 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The next document is the one of next greater doc_id (rows of one doc_id by their text; a null id comes first), after the last the first. Null
-    texts are empty. Whole texts move once, by range of doc_id; each task streams its range and holds two texts."""
-    band = docs.sparkSession.sparkContext.broadcast(in_band(*count_cells(docs, text_col)))
+    texts are empty. Whole texts, however long, move once, by range of doc_id; each task streams its range and holds two texts. Rows that repeat are
+    each other's next; other columns, whatever their names, are not read; an empty table gives no rows."""
+    known = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text_col))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
@@ -209,7 +206,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def compared(own, text, mark, after, next_mark):
             new = edited(text, after)
-            new_mark = mark if new == text else fingerprint(new, band.value, hasher)
+            new_mark = mark if new == text else fingerprint(new, known.value, hasher)
             sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
             return own, len(text), sha, mark, new_mark, likeness(mark, new_mark), likeness(mark, next_mark)
 
@@ -217,7 +214,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for p, tail, doc, text in zip(*(b.column(i) for i in range(4))):
                 p, tail, text = p.as_py(), tail.as_py(), text.as_py() or ""
-                mark = fingerprint(text, band.value, hasher)
+                mark = fingerprint(text, known.value, hasher)
                 if held is not None and p == part:
                     out.append(compared(*held, text, mark))
                 held = None if tail else (doc.as_py(), text, mark)

@@ -222,6 +222,68 @@ def test_edited_fingerprints(spark):
     assert imatch.document_fingerprints(docs).where("doc_id = 1000").first().fingerprint == imatch.document_fingerprints(docs).where("doc_id = 1001").first().fingerprint
 
 
+def test_fingerprints_equal_brute_force(spark):
+    """Document frequencies, band, lexicon subsets and likeness in plain Python integers."""
+    import re
+
+    import xxhash
+
+    rng = np.random.default_rng(9)
+    vocabulary = [f"term{i}é" for i in range(3000)]
+    texts = [" ".join(rng.choice(vocabulary, int(n))) + " Every text" for n in rng.integers(0, 90, 70)] + ["", None, "?!", "Every TEXT", "lonely"]
+    texts[5] = texts[4]
+    texts[7] = texts[6] + " more words"
+
+    def terms(t):
+        return {w.encode() for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))}
+
+    df = {}
+    for t in texts:
+        for w in terms(t):
+            df[w] = df.get(w, 0) + 1
+    low, high = imatch.BAND[0] * len(texts), max(imatch.BAND[1] * len(texts), 2)
+    lexicon = {w for w, n in df.items() if low <= n <= high}
+    assert b"every" not in lexicon and len(lexicon) > 1000
+    mask = 2**64 - 1
+
+    def rank(h, order):
+        x = (h ^ h >> 29) * (xxhash.xxh64_intdigest(b"order", order) | 1) & mask
+        x = (x ^ x >> 32) * 0x9E3779B97F4A7C15 & mask
+        return min(imatch.SCALES - 1, 64 - (x ^ x >> 29).bit_length())
+
+    def subsets(t):
+        kept = terms(t) & lexicon or terms(t)
+        h = sorted(xxhash.xxh64_intdigest(w, 7) for w in kept)
+        return [[[x for x in h if rank(x, c) >= s] for s in range(imatch.SCALES)] for c in range(imatch.COPIES)]
+
+    def digest(h):
+        return xxhash.xxh64_hexdigest(np.array(h, np.uint64).tobytes())
+
+    def plain(t):
+        if not terms(t):
+            return "text-" + hashlib.sha1((t or "").encode()).hexdigest()[:16]
+        made = subsets(t)
+        return " ".join([digest(made[0][0]), *("".join(digest(x)[: imatch.DIGITS] for x in levels[1:] if x) or "-" for levels in made)])
+
+    def like(a, b):
+        if plain(a) == plain(b):
+            return 1.0
+        if not terms(a) or not terms(b):
+            return 0.0
+        return sum(any(x and x == y for x, y in zip(p[1:], q[1:])) for p, q in zip(subsets(a), subsets(b))) / imatch.COPIES
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    rows = {r.doc_id: r for r in imatch.compare_edited(docs).collect()}
+    assert {r.doc_id: r.fingerprint for r in imatch.document_fingerprints(docs).collect()} == {i: plain(t) for i, t in enumerate(texts)}
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        new = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        r = rows[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (plain(t), plain(new))
+        assert (r.near_edited, r.near_next) == (like(t, new), like(t, after))
+    assert rows[4].near_next == 1 and 0.5 < rows[6].near_next < 1
+
+
 def test_lexicon_ranks_are_geometric():
     ranks = imatch._ranks(np.random.default_rng(0).integers(0, 2**63, 20000).astype(np.uint64))
     assert ranks.shape == (imatch.COPIES, 20000) and ranks.min() == 0
