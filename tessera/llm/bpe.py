@@ -158,8 +158,19 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
 
 
+def vocabulary(path: str | None = None) -> str:
+    """The text of a vocabulary file; without a path, of the public 50k byte-level one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def encode_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary, decoded string): ids as little-endian unsigned 32-bit integers. Null texts are empty.
+    """(doc_id, ids binary, decoded string), a row for each row: ids as little-endian unsigned 32-bit integers. Null texts are empty; texts of any
+    length are encoded whole; other columns, whatever their names, are not read; an empty table gives no rows.
 
     The vocabulary file's text goes out once per executor as a broadcast variable: a few MB at any size of the corpus.
     Each document is encoded where it is read; nothing is shuffled."""

@@ -42,22 +42,19 @@ def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_prefix_dp(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     from .bpe import encode_documents
+    from .bpe import vocabulary as read
 
-    if vocabulary is None:
-        import public_tokenizers
-
-        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    with open(vocabulary, encoding="utf-8") as f:
-        spec = f.read()
+    spec = read(vocabulary)
     out = encode_documents(_table(spark, sf_dir, "documents"), spec)
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return out.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    from .bpe import vocabulary as read
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"))
+    return pack_documents(_table(spark, sf_dir, "documents"), read(vocabulary))
 
 
 def op7_int8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +95,13 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS INT), 1)), '') AS payload_digest,
  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to, url FROM k""",
+    "op7_int8_nearest": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+ AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(c.x, c.x))) AS score
+ FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
     "op10_substring_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT r, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d),
