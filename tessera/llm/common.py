@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_BASE: dict[str, str] = {}
@@ -75,9 +75,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fits(df: DataFrame, rows: int) -> DataFrame:
-    """The table, as a broadcast if it has at most ``rows`` rows; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: At most so many bytes of lists and texts go out as a broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits(df: DataFrame, rows: int, size: Column | None = None) -> DataFrame:
+    """The table, as a broadcast if it has at most ``rows`` rows, and their lists (``size``: a row's bytes) at most BROADCAST_BYTES; else Spark
+    joins it by a shuffle."""
+    n, held = df.agg(F.count(F.lit(1)), F.sum((F.lit(0) if size is None else size).cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= BROADCAST_BYTES else df
 
 
 def connected_components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
