@@ -7,10 +7,12 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import cache
 from ..functions.aggregates import Agg, sort_column
 from ..functions.expr import Context, Expand, Expr, Unpack, all_, as_expr
 from ..functions.styles import restyle
@@ -20,7 +22,35 @@ from . import joins
 MODES = {"append": "append", "overwrite": "overwrite", "ignore": "ignore", "exception_if_exists": "error", "error": "error"}
 #: Order of columns by type (fixed values): identifiers and numbers first, nested values last.
 TYPE_ORDER = (T.LongType, T.IntegerType, T.DoubleType, T.FloatType, T.BooleanType, T.TimestampType, T.TimestampNTZType, T.DateType, T.StringType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
-_CACHE: dict[str, DataFrame] = {}
+def arrow_mapped(df: DataFrame, function: Callable[[dict], Iterator[dict]], schema: T.StructType | str, batch: int | None = None) -> DataFrame:
+    """The rows that ``function`` makes of each row, both as dictionaries. Values go through Arrow as they are: a long stays one beside nulls."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch or max(1, whole.num_rows)):
+                rows = whole.slice(at, batch or whole.num_rows).to_pylist(maps_as_pydicts="lossy")
+                made = [x for r in rows for x in function(r)]
+                if made:
+                    yield pa.RecordBatch.from_pylist(made, schema=arrow)
+
+    return df.mapInArrow(run, kind)
+
+
+def _ties(df: DataFrame) -> list[Column]:
+    """The columns that can be ordered: they settle the place of rows with one key."""
+
+    def orders(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return orders(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return all(orders(f.dataType) for f in kind)
+        return not isinstance(kind, (T.MapType, T.VariantType))
+
+    return [F.col(f"`{f.name}`") for f in df.schema if orders(f.dataType)]
 
 
 class Report:
@@ -29,11 +59,11 @@ class Report:
 
 
 class Frame:
-    def __init__(self, df: DataFrame, mode: str = "exception_if_exists", partitions: tuple[str, ...] = (), on_error: str = "throw") -> None:
-        self.df, self._mode, self._partitions, self._on_error = df, mode, partitions, on_error
+    def __init__(self, df: DataFrame, mode: str = "exception_if_exists", partitions: tuple[str, ...] = (), on_error: str = "throw", batch: int | None = None, orders: tuple = ()) -> None:
+        self.df, self._mode, self._partitions, self._on_error, self._batch, self._orders = df, mode, partitions, on_error, batch, orders
 
     def _with(self, df: DataFrame | None = None, **changes) -> Frame:
-        state = {"mode": self._mode, "partitions": self._partitions, "on_error": self._on_error} | changes
+        state = {"mode": self._mode, "partitions": self._partitions, "on_error": self._on_error, "batch": self._batch} | changes
         return Frame(self.df if df is None else df, **state)
 
     @property
@@ -140,7 +170,7 @@ class Frame:
 
     def sort_by(self, *orders) -> Frame:
         """Nulls are smallest."""
-        return self._with(self.df.orderBy(*[sort_column(o, self.ctx) for o in orders]))
+        return self._with(self.df.orderBy(*[sort_column(o, self.ctx) for o in orders]), orders=orders)
 
     def drop_duplicates(self, *keys: str | Expr, order_by: str | list[str] | None = None) -> Frame:
         """One row for each key; by ``order_by`` the first one, else any."""
@@ -179,11 +209,40 @@ class Frame:
     def diff_right(self, other: Frame) -> Frame:
         return self._with(self._difference(other.df, self.df))
 
+    def _split_at(self, n: int, order_by: str, ascending: bool) -> tuple[DataFrame, DataFrame, int] | None:
+        """(rows before the key of row n of the order, rows of that key, how many of these come before row n); None if there is no row n. Nulls are smallest.
+
+        One bounded sort finds the key and one aggregate the count; only the key's own rows are ordered further, by their other columns."""
+        key = F.struct(F.col(f"`{order_by}`").isNotNull().alias("a"), F.col(f"`{order_by}`").alias("b"))
+        found = self.df.select(key.alias("k")).orderBy(F.col("k").asc() if ascending else F.col("k").desc()).offset(n).limit(1).collect()
+        if not found:
+            return None
+        at = F.lit(None) if found[0].k.b is None else F.lit(found[0].k.b).cast(self.df.schema[order_by].dataType)
+        column = F.col(f"`{order_by}`")
+        same = column.eqNullSafe(at)
+        if found[0].k.b is None:
+            before = F.lit(False) if ascending else column.isNotNull()
+        else:
+            before = (column.isNull() | (column < at)) if ascending else F.coalesce(column > at, F.lit(False))
+        ahead = self.df.where(before)
+        return ahead, self.df.where(same), n - ahead.count()
+
     def drop_right(self, n: int, order_by: str) -> Frame:
-        return self._with(self.df.join(F.broadcast(self.df.orderBy(F.col(order_by).desc()).limit(n).select(order_by)), order_by, "left_anti").select(*self.columns))
+        """Without the last n rows of the order; of rows with one key the greater by their other columns go first."""
+        if n <= 0:
+            return self
+        split = self._split_at(n, order_by, ascending=False)
+        if split is None:  # no more than n rows, or just n
+            return self._with(self.df.limit(0))
+        _, same, taken = split
+        column = F.col(f"`{order_by}`")
+        key = same.select(column).first()[0]
+        rest = self.df.where(F.lit(False) if key is None else column.isNull() | (column < F.lit(key)))
+        return self._with(rest.unionAll(same.orderBy(*[c.desc() for c in _ties(same)]).offset(taken)))
 
     def take_right(self, n: int, order_by: str) -> Frame:
-        return self._with(self.df.orderBy(F.col(order_by).desc()).limit(n))
+        """The last n rows of the order, last first; ties as in ``drop_right``."""
+        return self._with(self.df.orderBy(F.col(f"`{order_by}`").desc(), *[c.desc() for c in _ties(self.df)]).limit(n))
 
     def take(self, n: int) -> Frame:
         return self.limit(n)
@@ -197,15 +256,28 @@ class Frame:
     def sort_descending(self, key: str | Expr) -> Frame:
         return self.sort_by((as_expr(key), False))
 
-    reverse = sort_descending
+    def reverse(self, *orders) -> Frame:
+        """The frame in the reverse of its order: of the ``sort_by`` just before, or of ``orders``. A table without an order has no reverse."""
+        given = orders or self._orders
+        if not given:
+            raise ValueError("a frame without an order has no reverse")
+        pairs = [o if isinstance(o, tuple) else (o, True) for o in given]
+        return self.sort_by(*[(as_expr(e), not up) for e, up in pairs])
 
     def sort_entries(self) -> Frame:
         return self.reorder_entries("name")
 
     def remove(self, position: int, order_by: str) -> Frame:
-        """Without the row at a position, from 0, of the order; rows of the same key go together."""
-        gone = self.df.orderBy(f"`{order_by}`").offset(position).limit(1).select(f"`{order_by}`")
-        return self._with(self.df.join(F.broadcast(gone), order_by, "left_anti").select(*[f"`{c}`" for c in self.columns]))
+        """Without the one row at a position, from 0, of the order; rows of one key are ordered by their other columns."""
+        split = self._split_at(position, order_by, ascending=True)
+        if split is None:
+            return self
+        _, same, at = split
+        column = F.col(f"`{order_by}`")
+        others = self.df.where(~column.eqNullSafe(F.lit(same.select(column).first()[0])))
+        ordered = same.orderBy(*_ties(same))
+        kept = ordered.offset(at + 1)
+        return self._with(others.unionAll(ordered.limit(at).unionAll(kept) if at else kept))
 
     @property
     def is_partitioned(self) -> bool:
@@ -250,25 +322,32 @@ class Frame:
     # functions over rows and frames
     def map(self, function: Callable[[dict], dict], schema: T.StructType | str | None = None) -> Frame:
         """A function of each row as a dictionary, in Arrow batches."""
-        import pandas as pd
-
-        def run(batches):
-            for b in batches:
-                rows = [function(r) for r in b.to_dict("records")]
-                yield pd.DataFrame(rows) if rows else pd.DataFrame()
-
-        return self._with(self.df.mapInPandas(run, schema or self.df.schema))
+        return self._with(arrow_mapped(self.df, lambda r: [function(r)], schema or self.df.schema, self._batch))
 
     def flat_map(self, function: Callable[[dict], list[dict]], schema: T.StructType | str) -> Frame:
-        import pandas as pd
+        return self._with(arrow_mapped(self.df, function, schema, self._batch))
+
+    def reduce(self, function: Callable[[Any, dict], Any], initial: Any = None, combine: Callable[[Any, Any], Any] | None = None) -> Any:
+        """A fold of all rows as dictionaries. With ``combine`` each task folds its rows, from ``initial``, and the driver combines one value a task; without it
+        rows stream to the driver in the frame's order."""
+        if combine is None:
+            return functools.reduce(function, self.get_each_as_array(), initial)
+        import pickle
 
         def run(batches):
+            value, seen = initial, False
             for b in batches:
-                rows = [x for r in b.to_dict("records") for x in function(r)]
-                if rows:
-                    yield pd.DataFrame(rows)
+                for r in b.to_pylist(maps_as_pydicts="lossy"):
+                    value, seen = function(value, r), True
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(value)], pa.binary())], names=["value"])
 
-        return self._with(self.df.mapInPandas(run, schema))
+        parts = [pickle.loads(r.value) for r in self.df.mapInArrow(run, "value binary").collect()]
+        return functools.reduce(combine, parts) if parts else initial
+
+    def entries(self) -> list[list[tuple[str, Any]]]:
+        """Each row's (name, value) pairs, for results that fit the driver."""
+        return [list(zip(self.columns, r)) for r in self.fetch()]
 
     def transform(self, change: Callable[[Frame], Frame]) -> Frame:
         return change(self)
@@ -286,16 +365,12 @@ class Frame:
         return self
 
     def batch_size(self, n: int) -> Frame:
-        """Rows of a batch that Python functions get."""
-        if n > 0:
-            self.df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
-        return self
+        """At most so many rows at a time are made for this frame's Python functions; 0 or less: as they come."""
+        return self._with(batch=n if n > 0 else None)
 
-    def cache(self, name: str | None = None) -> Frame:
-        df = self.df.persist()
-        if name:
-            _CACHE[name] = df
-        return self._with(df)
+    def cache(self, name: str | None = None, store=None) -> Frame:
+        """Kept by the session, under a name or none; or by a store of ``tessera.cache`` that outlives it."""
+        return self._with((store or cache.DEFAULT).set(name, self.df) if name else self.df.persist())
 
     def partition_by(self, *names: str) -> Frame:
         return self._with(self.df.repartition(*[F.col(f"`{n}`") for n in names]), partitions=names)
@@ -450,15 +525,18 @@ class Grouped:
         return self.frame._with(grouped.agg(*[a.resolve(ctx).alias(a.name) for a in aggs]))
 
 
-def from_cache(spark: SparkSession, name: str, fallback: Frame | None = None, clear: bool = False) -> Frame:
-    """The frame that was cached by this name."""
-    df = _CACHE.get(name)
+def from_cache(spark: SparkSession, name: str, fallback: Frame | None = None, clear: bool = False, store=None) -> Frame:
+    """The frame that was cached by this name; ``clear``: the store forgets it."""
+    store = store or cache.DEFAULT
+    df = store.get(spark, name)
     if df is None:
         if fallback is None:
             raise KeyError(f"nothing is cached as {name}")
-        return fallback.cache(name)
+        return fallback.cache(name, store)
     if clear:
-        del _CACHE[name]
+        if store is not cache.DEFAULT:
+            raise ValueError("frames are lazy: delete from a store after the frame was read")
+        store.held.pop(name)  # the frame in hand stays persisted
     return Frame(df)
 
 

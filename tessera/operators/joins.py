@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+import itertools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,43 +14,46 @@ TYPES = ("inner", "left", "left_anti", "right")
 
 
 class Comparison:
-    def __init__(self, build: Callable[[DataFrame, DataFrame], Column], keys: tuple[tuple[str, str], ...]) -> None:
-        self.build, self.keys = build, keys
+    """Pairs of columns that must match: alternatives of conditions that all hold. Each condition is (left, right, strict)."""
 
+    def __init__(self, alternatives: tuple[tuple[tuple[str, str, bool], ...], ...]) -> None:
+        self.alternatives = alternatives
 
-def _pair(left: str, right: str, strict: bool) -> Comparison:
-    def build(a: DataFrame, b: DataFrame) -> Column:
-        ka, kb = a.schema[left].dataType, b.schema[right].dataType
-        x, y = a[left], b[right]
-        if strict:
-            return x.eqNullSafe(y) if ka == kb else x.isNull() & y.isNull()
-        comparable(ka, kb)
-        x, y = _aligned(x, y, ka, kb)
-        return x.eqNullSafe(y)
+    @property
+    def keys(self) -> tuple[tuple[str, str], ...]:
+        return tuple(dict.fromkeys((a, b) for parts in self.alternatives for a, b, _ in parts))
 
-    return Comparison(build, ((left, right),))
+    def conditions(self, a: DataFrame, b: DataFrame, names: dict[str, str]) -> list[Column]:
+        """One condition for each alternative; ``names`` are the right columns' names in the join."""
+
+        def one(left: str, right: str, strict: bool) -> Column:
+            ka, kb = a.schema[left].dataType, b.schema[right].dataType
+            x, y = F.col(f"`{left}`"), F.col(f"`{names[right]}`")
+            if strict:  # of unlike types only nulls are equal; a key of its own, so that this is an equi-join too
+                return x.eqNullSafe(y) if ka == kb else F.when(x.isNull(), F.lit(1)) == F.when(y.isNull(), F.lit(1))
+            comparable(ka, kb)
+            x, y = _aligned(x, y, ka, kb)
+            return x.eqNullSafe(y)
+
+        return [functools.reduce(lambda p, q: p & q, [one(*part) for part in parts]) for parts in self.alternatives]
 
 
 def equal(left: str, right: str) -> Comparison:
     """Loose equality: types that compare are brought together, and two nulls are equal."""
-    return _pair(left, right, strict=False)
+    return Comparison((((left, right, False),),))
 
 
 def identical(left: str, right: str) -> Comparison:
     """Equal value and type."""
-    return _pair(left, right, strict=True)
-
-
-def _combined(parts: tuple[Comparison, ...], op) -> Comparison:
-    return Comparison(lambda a, b: functools.reduce(op, [p.build(a, b) for p in parts]), tuple(k for p in parts for k in p.keys))
+    return Comparison((((left, right, True),),))
 
 
 def compare_all(*parts: Comparison) -> Comparison:
-    return _combined(parts, lambda a, b: a & b)
+    return Comparison(tuple(sum(chosen, ()) for chosen in itertools.product(*[p.alternatives for p in parts])))
 
 
 def compare_any(*parts: Comparison) -> Comparison:
-    return _combined(parts, lambda a, b: a | b)
+    return Comparison(sum((p.alternatives for p in parts), ()))
 
 
 class On:
@@ -76,15 +79,25 @@ def join(left: DataFrame, right: DataFrame, on: On, how: str = "left", match: st
         ctx = Context(right)
         w = Window.partitionBy(*[k for _, k in on.comparison.keys]).orderBy(*[ref(o).resolve(ctx) for o in order_by])
         right = right.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
-    condition = on.comparison.build(left, right)
+    hidden = {c: f"_right_{i}_{c}" for i, c in enumerate(right.columns)}
+    other = right.select(*[F.col(f"`{c}`").alias(n) for c, n in hidden.items()])  # names of its own: a frame may meet one that is derived from it
+    conditions = on.comparison.conditions(left, right, hidden)
     if how == "left_anti":
-        return left.join(right, condition, "left_anti")
+        return functools.reduce(lambda df, c: df.join(other, c, "left_anti"), conditions, left)
     renamed = [on.prefix + c for c in right.columns]
     clash = set(renamed) & set(left.columns)
     if clash:
         raise ValueError(f"both sides have {', '.join(sorted(clash))}; give a prefix")
-    joined = left.join(right, condition, how)
-    return joined.select(*[left[c] for c in left.columns], *[right[c].alias(n) for c, n in zip(right.columns, renamed)])
+    columns = [F.col(f"`{c}`") for c in left.columns] + [F.col(f"`{hidden[c]}`").alias(n) for c, n in zip(right.columns, renamed)]
+    if len(conditions) == 1:
+        return left.join(other, conditions[0], how).select(*columns)
+    # an equi-join for each alternative, less the pairs that an earlier one has found; never a loop over all pairs
+    found = [left.join(other, c if not i else c & ~functools.reduce(lambda p, q: p | q, conditions[:i]), "inner") for i, c in enumerate(conditions)]
+    if how in ("left", "right"):
+        own, lacking = (left, other) if how == "left" else (other, left)
+        alone = functools.reduce(lambda df, c: df.join(lacking, c, "left_anti"), conditions, own)
+        found.append(alone.withColumns({f.name: F.lit(None).cast(f.dataType) for f in lacking.schema}))
+    return functools.reduce(lambda p, q: p.unionByName(q), found).select(*columns)
 
 
 def cross_join(left: DataFrame, right: DataFrame, prefix: str = "", compat: bool = False) -> DataFrame:

@@ -112,7 +112,8 @@ def update_sql(table: str, columns: list[str], primary: list[str]) -> str:
 
 
 def to_table_insert(connect: Callable, table: str, batch_size: int = 1000, dialect: str = "sqlite", **conflicts) -> Sink:
-    """Bulk inserts over a DB-API connection that ``connect`` opens in each task; columns in the order of their names."""
+    """Bulk inserts over a DB-API connection that ``connect`` opens in each task; columns in the order of their names. A task
+    commits once; one that is retried after its commit inserts again, unless ``conflicts`` (skip_conflicts, conflict_columns) says what becomes of rows that are there."""
 
     def write(df, mode, parts):
         columns = sorted(df.columns)
@@ -160,20 +161,22 @@ def to_table_update(connect: Callable, table: str, primary: list[str]) -> Sink:
     return write
 
 
+def _decoded(v):
+    """JSON texts of lists and objects as what they say."""
+    if isinstance(v, str) and v[:1] in "[{":
+        try:
+            return json.loads(v)
+        except ValueError:
+            return v
+    return v
+
+
 def bulk_lines(rows: list[dict], index: str, id_of: Callable[[dict], str], action: str = "index") -> str:
     """The body of one bulk request to a search index; JSON texts become objects."""
 
-    def value(v):
-        if isinstance(v, str) and v[:1] in "[{":
-            try:
-                return json.loads(v)
-            except ValueError:
-                return v
-        return v
-
     lines = []
     for r in rows:
-        body = {k: value(v) for k, v in r.items()}
+        body = {k: _decoded(v) for k, v in r.items()}
         lines += [json.dumps({action: {"_index": index, "_id": id_of(r)}}), json.dumps({"doc": body} if action == "update" else body, default=str)]
     return "\n".join(lines) + "\n"
 
@@ -188,8 +191,8 @@ def hash_id_factory(*columns: str) -> Callable[[dict], str]:
     return lambda row: hashlib.sha1("\0".join(str(row[c]) for c in columns).encode()).hexdigest()
 
 
-def to_search_bulk(send: Callable[[str], None], index: str, id_of: Callable[[dict], str], action: str = "index", batch_size: int = 1000) -> Sink:
-    """``send`` posts one bulk body; it runs in the tasks."""
+def _batched(send: Callable[[list[dict]], None], batch_size: int) -> Sink:
+    """Batches of rows as dictionaries, sent from the tasks."""
 
     def write(df, mode, parts):
         def each(rows):
@@ -197,16 +200,35 @@ def to_search_bulk(send: Callable[[str], None], index: str, id_of: Callable[[dic
             for r in rows:
                 batch.append(r.asDict(True))
                 if len(batch) == batch_size:
-                    send(bulk_lines(batch, index, id_of, action))
+                    send(batch)
                     batch = []
             if batch:
-                send(bulk_lines(batch, index, id_of, action))
+                send(batch)
 
         df.foreachPartition(each)
 
     return write
 
 
+def to_search_bulk(send: Callable[[str], None], index: str, id_of: Callable[[dict], str], action: str = "index", batch_size: int = 1000) -> Sink:
+    """``send`` posts one bulk body; it runs in the tasks. A task that is retried sends the same ids again, which replace themselves."""
+    return _batched(lambda rows: send(bulk_lines(rows, index, id_of, action)), batch_size)
+
+
+def to_meilisearch_bulk_index(update_documents: Callable[[list[dict]], object], wait: Callable[[object], None] | None = None, batch_size: int = 1000) -> Sink:
+    """``update_documents`` adds or updates a batch by primary key and gives its task, for which ``wait`` waits; both run in Spark's tasks. JSON texts become objects."""
+
+    def send(rows):
+        task = update_documents([{k: _decoded(v) for k, v in r.items()} for r in rows])
+        if wait:
+            wait(task)
+
+    return _batched(send, batch_size)
+
+
+to_meilisearch_bulk_update = to_meilisearch_bulk_index
+
+
 def to_callable(function: Callable[[list], None], batch_size: int = 1000) -> Sink:
     """Batches of rows on the driver, streamed partition by partition."""
 

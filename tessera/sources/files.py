@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +31,13 @@ def from_parquet(spark: SparkSession, path: str | list[str], columns: list[str]
 
 
 def detect_csv(sample: list[str]) -> tuple[str, str]:
-    """Separator and quote of a few lines: the pair that cuts all of them into the same number, the most, of fields."""
+    """Separator and quote of a few lines: the pair that cuts all of them into the same number, the most, of fields. Any character of the
+    sample that is neither letter, digit nor quote may separate; of equals the one that a comma, tab, semicolon or bar is comes first."""
     best, chosen = (-1.0, 0), (",", '"')
+    found = {c for line in sample for c in line if not c.isalnum() and c not in "\"'\\\r\n"}
+    usual = [c for c in ",\t;|" if c in found]
     for quote in ('"', "'"):
-        for sep in (",", "\t", ";", "|", " ", "_", "-", ":", "~", "@", "#", "$", "%", "^", "&", "*"):
+        for sep in [*usual, *sorted(found.difference(usual))]:
             q = re.escape(quote)
             counts = [re.sub(f"{q}(?:[^{q}]|{q}{q})*{q}", "", line).count(sep) for line in sample]
             if not counts or not max(counts):
@@ -50,13 +54,16 @@ def csv_detect_separator(spark: SparkSession, path: str, lines: int = 5) -> tupl
     return detect_csv([r.value for r in spark.read.text(path).limit(lines).collect()])
 
 
-def from_csv(spark: SparkSession, path: str, with_header: bool = True, empty_to_null: bool = True, separator: str | None = None, enclosure: str | None = None, escape: str = "\\", schema=None, characters_read_in_line: int | None = None, input_file_uri: bool = False) -> Frame:
+def from_csv(spark: SparkSession, path: str, with_header: bool = True, empty_to_null: bool = True, separator: str | None = None, enclosure: str | None = None, escape: str = "\\", schema=None, characters_read_in_line: int | None = None, multi_line: bool = False, input_file_uri: bool = False) -> Frame:
     """All values are texts unless a schema is given. Short rows are filled with nulls and long ones cut; blank headers become e00, e01 and so on.
-    Separator and enclosure are detected from the first lines where they are not given."""
+    Separator and enclosure are detected from the first lines where they are not given. Values that hold line ends, which ``to_csv`` quotes, need ``multi_line``; a
+    file is then read by one task."""
     if separator is None or enclosure is None:
         found = csv_detect_separator(spark, path)
         separator, enclosure = separator or found[0], enclosure or found[1]
     options = {"sep": separator, "quote": enclosure, "escape": escape, "mode": "PERMISSIVE", "enforceSchema": "true", "nullValue": "" if empty_to_null else "\0", "emptyValue": ""}
+    if multi_line:
+        options["multiLine"] = "true"
     if characters_read_in_line:
         options["maxCharsPerColumn"] = characters_read_in_line
     head = spark.read.options(**options, header="false", inferSchema="false").csv(path).limit(1).collect()
@@ -96,15 +103,52 @@ def from_text(spark: SparkSession, path: str, input_file_uri: bool = False) -> F
     return _finish(df, input_file_uri)
 
 
+#: A whole tag, whatever its quoted attribute values hold.
+_TAG = re.compile(rb"""<(?:[^>"']|"[^"]*"|'[^']*')*>""")
+
+
+def xml_nodes(content: bytes, path: list[str]) -> list[str]:
+    """The elements at a path from the root, each as it stands in the document; found by a streaming parser, so nested elements of the same name are whole."""
+    from xml.parsers import expat
+
+    parser, stack, starts, out = expat.ParserCreate(), [], [], []
+    encoding = (re.match(rb"""<\?xml[^>]*encoding=["']([\w.-]+)""", content) or [b"", b"utf-8"])[1].decode()
+
+    def begin(name, _):
+        stack.append(name)
+        if stack == path:
+            starts.append(parser.CurrentByteIndex)
+
+    def finish(_):
+        if stack == path:
+            first = starts.pop()
+            last = _TAG.match(content, first).end()
+            if content[last - 2 : last] != b"/>":
+                last = _TAG.match(content, parser.CurrentByteIndex).end()
+            out.append(content[first:last].decode(encoding))
+        stack.pop()
+
+    parser.StartElementHandler, parser.EndElementHandler = begin, finish
+    parser.Parse(content, True)
+    return out
+
+
 def from_xml(spark: SparkSession, path: str, node_path: str = "", input_file_uri: bool = False) -> Frame:
-    """One text column, ``node``, with each element at ``node_path`` (``root/items/item``); the whole document without one."""
-    whole = spark.read.text(path, wholetext=True)
+    """One text column, ``node``, with each element at ``node_path``, a whole path from the root (``root/items/item``); the whole document without one.
+
+    A file is read by one task; large files of rows are better read by ``from_xml_rows``, which splits them."""
     if not node_path:
-        return _finish(whole.withColumnRenamed("value", "node"), input_file_uri)
-    tag = re.escape(node_path.rstrip("/").split("/")[-1])
-    pattern = rf"(?s)<{tag}(?:\s[^>]*)?(?:/>|>.*?</{tag}\s*>)"
-    rest = [c for c in whole.columns if c != "value"]
-    return _finish(whole.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), 0)).alias("node"), *rest), False)
+        return _finish(spark.read.text(path, wholetext=True).withColumnRenamed("value", "node"), input_file_uri)
+    steps = [p for p in node_path.split("/") if p]
+
+    def run(batches):
+        for b in batches:
+            for uri, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                nodes = xml_nodes(content, steps)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array([uri] * len(nodes), pa.string())], names=["node", "_input_file_uri"])
+
+    nodes = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "node string, _input_file_uri string")
+    return Frame(nodes if input_file_uri else nodes.drop("_input_file_uri"))
 
 
 def from_xml_rows(spark: SparkSession, path: str, row: str, schema=None) -> Frame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.frame import Frame
+from ..operators.frame import Frame, arrow_mapped
 
 
 def from_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, partition_column: str | None = None, bounds: tuple | None = None, partitions: int | None = None, **options) -> Frame:
@@ -23,16 +23,12 @@ def from_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
 
 def _fetched(rows: DataFrame, fetch: Callable[[dict], Iterator[dict]], schema: T.StructType | str) -> DataFrame:
     """The rows that ``fetch`` yields for each request row, a request a task at most as often as Spark retries."""
-    import pandas as pd
+    return arrow_mapped(rows, fetch, schema)
 
-    def run(batches):
-        for b in batches:
-            for request in b.to_dict("records"):
-                found = list(fetch(request))
-                if found:
-                    yield pd.DataFrame(found)
 
-    return rows.mapInPandas(run, schema)
+def from_generator(spark: SparkSession, make: Callable[[int], Iterator[dict]], schema: T.StructType | str, tasks: int = 1) -> Frame:
+    """The rows of ``make(i)`` for each i below ``tasks``, each in a task of its own."""
+    return Frame(_fetched(spark.range(0, tasks, 1, tasks), lambda r: make(r["id"]), schema))
 
 
 def from_db_queries(spark: SparkSession, connect: Callable, query: str, parameter_sets: list[tuple], schema: T.StructType | str) -> Frame:
@@ -108,6 +104,46 @@ def from_search_pages(spark: SparkSession, search: Callable[[int, int], list[dic
     return Frame(_fetched(pages, lambda r: iter(search(int(r["id"]), page_size)), schema))
 
 
+def _hit(hit: dict) -> dict:
+    return {"_id": hit.get("_id")} | hit.get("_source", {})
+
+
+def from_es(
+    spark: SparkSession, search: Callable[[dict], dict], body: dict, schema: T.StructType | str, page_size: int = 1000, open_point_in_time: Callable[[], str] | None = None, slices: int = 1, to_row: Callable[[dict], dict] = _hit
+) -> Frame:
+    """All hits of a search, a row each (by default its ``_id`` and source). ``search`` posts a body and gives the response.
+
+    A body with a ``sort`` follows the last hit's sort values from page to page (search_after), which reaches any number of hits; one without is paged by
+    from and size, which services limit. A point in time, opened once, keeps pages apart from changes; with one, ``slices`` tasks read in parallel."""
+    if slices > 1 and open_point_in_time is None:
+        raise ValueError("slices need a point in time")
+    shared = {"pit": {"id": open_point_in_time(), "keep_alive": "5m"}} if open_point_in_time else {}
+
+    def fetch(request):
+        asked = body | shared | {"size": page_size}
+        if slices > 1:
+            asked["slice"] = {"id": request["id"], "max": slices}
+        at = 0
+        while hits := search(asked)["hits"]["hits"]:
+            yield from map(to_row, hits)
+            at += len(hits)
+            asked = asked | ({"search_after": hits[-1]["sort"]} if "sort" in body else {"from": at})
+
+    return Frame(_fetched(spark.range(0, slices, 1, slices), fetch, schema))
+
+
+def from_meilisearch(spark: SparkSession, search: Callable[[dict], dict], parameters: dict, schema: T.StructType | str, page_size: int = 1000) -> Frame:
+    """All hits of a search by offset and limit, until a page is empty."""
+
+    def fetch(_):
+        at = 0
+        while hits := search(parameters | {"offset": at, "limit": page_size})["hits"]:
+            yield from hits
+            at += len(hits)
+
+    return Frame(_fetched(spark.range(0, 1, 1, 1), fetch, schema))
+
+
 def hits_to_rows(frame: Frame, column: str = "hits", source: str | None = "_source") -> Frame:
     """A row for each hit of a response column."""
     hit = frame.df.select(F.explode(column).alias("hit"))

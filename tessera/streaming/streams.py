@@ -40,7 +40,14 @@ def _timed(frame: Frame, window, time: str, aggs: tuple[Agg, ...], keys: tuple[s
     return Frame(out.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *[c for c in out.columns if c != "_w"]))
 
 
-def start(frame: Frame, sink: Callable[[DataFrame, str, tuple], None], checkpoint: str, mode: str = "append", once: bool = True):
-    """Run a sink for each micro-batch. The checkpoint and a sink that overwrites by batch make it exactly once."""
-    writer = frame.df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda df, epoch: sink(df, "append", ()))
+def start(frame: Frame, sink: Callable, checkpoint: str, mode: str = "append", once: bool = True, by_batch: bool = False):
+    """Run a sink for each micro-batch. A batch that is replayed after a failure is written again: appending sinks get its rows at least once.
+
+    ``by_batch``: ``sink`` makes a sink from the batch's number, with a place of its own (``lambda n: to_parquet(f"out/batch={n}")``). It overwrites that place, so that
+    a replayed batch replaces what it wrote, and rows are there exactly once."""
+
+    def each(df: DataFrame, epoch: int) -> None:
+        sink(epoch)(df, "overwrite", ()) if by_batch else sink(df, "append", ())
+
+    writer = frame.df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if once else writer).start()
