@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Training documents of each label, at most; the share of each label over all usable labels weighs them.
 TRAIN_DOCS = 1500
+#: Longer texts are not learned from.
+TRAIN_CHARS = 32_768
 #: A feature marks toxic words if it is in at least MARK_DOCS sampled documents and this share of them is toxic.
 MARK_DOCS, MARK_SHARE = 8, 0.93
 ROUNDS, RATE, DECAY = 60, 0.5, 1e-4
@@ -222,22 +224,26 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on at most ``train_docs`` documents of each label that are not held out, the ones of least hash of their id;
-    whole texts, on the driver. The counts that weigh the labels cover all usable rows."""
+    whole texts, on the driver. Of those, texts of over TRAIN_CHARS characters are left out, so that at most 2 * train_docs * TRAIN_CHARS characters reach the driver;
+    a repeated doc_id gives its least text. The counts that weigh the labels cover all usable rows. Without labels of both kinds, or without documents, the model
+    calls nothing toxic."""
     usable = labels.where(~held_out(id_col) & F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
     picks = [usable.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs) for v in (0, 1)]
     picked = docs.sparkSession.createDataFrame(picks[0].unionByName(picks[1]).collect(), "doc_id long, toxic int")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text or ""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.char_length("text") <= TRAIN_CHARS)
+    rows = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: r.doc_id)
     y = [r.toxic for r in rows]
-    return train([r.text or "" for r in rows], y, {v: share[v] / max(1, y.count(v)) for v in set(y)})
+    return train([r.text for r in rows], y, {v: share[v] / max(1, y.count(v)) for v in set(y)})
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, spans): spans are (first, last, p) of words with p >= 0.5, in characters, last excluded.
 
-    A text alone decides its score; null and empty texts have no words and get the score of no evidence. The model is a
+    A text alone decides its score, whole, however long; null and empty texts have no words and get the score of no evidence. A row for each row; other
+    columns, whatever their names, are not read; an empty table gives no rows. The model is a
     broadcast whose size the training bound limits. Nothing is shuffled."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
