@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, fits, shuffle_partitions
@@ -21,12 +21,10 @@ from .common import Workspace, fits, shuffle_partitions
 GRAM = 8
 #: The filter's bits: 16 MB at any size of the corpus. A fuller filter lets more contexts through, and loses none.
 FILTER_BITS = 1 << 27
-#: Shards of more distinct contexts than this are counted window by window instead, spread over all tasks.
-SHARD_CONTEXTS = 2000
-#: At most so many rows go out as a broadcast.
+#: Shards of more distinct contexts than this are counted window by window instead, spread over all tasks, so that no task holds a crowded shard.
+SHARD_CONTEXTS = 256
+#: At most so many rows go out as a broadcast, and of rows with lists of spans no more bytes than ``fits`` allows.
 BROADCAST_ROWS = 500_000
-#: The same for rows that hold lists of spans.
-BROADCAST_LISTS = 100_000
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -324,20 +322,21 @@ def _by_automata(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _by_windows(ws: Workspace, texts: DataFrame, window: int) -> DataFrame:
-    """The same result for crowded shards: each window counts for itself, and the repeated ones go back to their contexts."""
+    """The same result for crowded shards: each window counts for itself, by a digest of 128 bits of its words, and the repeated ones go back to their
+    contexts. Among 10 ** 13 windows the digests of two different ones are equal with a probability of less than one in 10 ** 12."""
 
     def explode(batches):
-        tool = Windows(window)
+        digest = xxhash.xxh3_128_digest
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 cols = ([], [], [], [], [])
-                for mh, cx, copies, words in zip(*(c.to_pylist() for c in part.columns)):
-                    whole, _ = tool.of(words.split())
-                    n = len(whole)
-                    for col, v in zip(cols, ([mh] * n, [cx] * n, [copies] * n, list(range(n)), whole.view(np.int64).tolist())):
+                for mh, cx, copies, text in zip(*(c.to_pylist() for c in part.columns)):
+                    words = text.split()
+                    n = len(words) - window + 1
+                    for col, v in zip(cols, ([mh] * n, [cx] * n, [copies] * n, list(range(n)), [digest(b" ".join(words[i : i + window])) for i in range(n)])):
                         col += v
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()])], names=["mh", "cx", "copies", "at", "wh"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()])], names=["mh", "cx", "copies", "at", "wh"])
 
     def gather(batches):
         for b in batches:
@@ -345,7 +344,7 @@ def _by_windows(ws: Workspace, texts: DataFrame, window: int) -> DataFrame:
             yield _found(rows)
 
     texts = texts.groupBy("mh", "cx").agg(F.sum("copies").alias("copies"), F.min("words").alias("words"))
-    seen = texts.mapInArrow(explode, "mh long, cx long, copies long, at int, wh long")
+    seen = texts.mapInArrow(explode, "mh long, cx long, copies long, at int, wh binary")
     seen = ws.table(seen, "windows")
     again = ws.table(seen.groupBy("wh").agg(F.sum("copies").alias("n")).where("n > 1").select("wh"), "repeated-windows")
     hit = seen.join(again, "wh", "left_semi").groupBy("mh", "cx").agg(F.collect_set(F.col("at") + F.lit(window - 1)).alias("ends"))
@@ -360,15 +359,15 @@ def repeated_spans(ws: Workspace, rows: DataFrame, window: int) -> DataFrame:
     texts, places = found.where(F.col("words").isNotNull()), found.where(F.col("words").isNull()).select("mh", "cx", "rid", "first")
     crowded = texts.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_CONTEXTS).select("mh")
     crowded = ws.table(crowded, "crowded")
-    few = _fits(crowded)
+    few = fits(crowded, BROADCAST_ROWS)
     plain = _by_automata(texts.join(few, "mh", "left_anti"), window)
     spans_of = ws.table(plain.unionByName(_by_windows(ws, texts.join(few, "mh", "left_semi"), window)), "spans")
-    back = places.join(_fits(spans_of), ["mh", "cx"]).select("rid", F.transform("spans", lambda x: x + F.col("first")).alias("spans"))
+    back = places.join(fits(spans_of, BROADCAST_ROWS, _span_bytes()), ["mh", "cx"]).select("rid", F.transform("spans", lambda x: x + F.col("first")).alias("spans"))
     return ws.table(back.groupBy("rid").agg(F.flatten(F.collect_set("spans")).alias("spans")), "rows")
 
 
-def _fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return fits(df, rows)
+def _span_bytes() -> Column:
+    return F.size("spans") * 4 + 32
 
 
 def covered(n: int, flat: list[int] | None) -> np.ndarray:
@@ -384,7 +383,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     """(doc_id, rid, n_words, n_removed, kept): kept holds the words that no repeated window covers, joined by blanks.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A window is repeated if its word sequence starts anywhere else in the input, the same document
-    included; all its occurrences go. Null texts have no words. Rows that repeat a doc_id are documents of their own,
+    included; all its occurrences go. Null texts have no words, and texts of any length are taken whole. Other columns, whatever their names, are
+    not read; an empty table gives no rows. Rows that repeat a doc_id are documents of their own,
     so equal rows of at least a window's length remove each other. rid is a hash of the row's id and text.
     """
     ws = Workspace(docs.sparkSession, "substring")
@@ -404,7 +404,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], names=["doc_id", "rid", "n_words", "n_removed", "kept"])
 
-    joined = whole.join(_fits(marks, BROADCAST_LISTS), "rid", "left").select("doc_id", "rid", "text", "spans")
+    joined = whole.join(fits(marks, BROADCAST_ROWS, _span_bytes()), "rid", "left").select("doc_id", "rid", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, rid long, n_words long, n_removed long, kept string")
 
 
@@ -414,8 +414,8 @@ def strip_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     ws = Workspace(docs.sparkSession, "substring")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marks = repeated_spans(ws, docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), text.alias("text")), window)
-    marks = marks.select(F.col("rid").alias("_tessera_rid"), F.col("spans").alias("_tessera_spans"))
-    joined = docs.withColumn("_tessera_rid", F.xxhash64(F.col(id_col), text)).join(_fits(marks, BROADCAST_LISTS), "_tessera_rid", "left").select(*docs.columns, "_tessera_spans")
+    marks = fits(marks, BROADCAST_ROWS, _span_bytes()).select(F.col("rid").alias("_tessera_rid"), F.col("spans").alias("_tessera_spans"))
+    joined = docs.withColumn("_tessera_rid", F.xxhash64(F.col(id_col), text)).join(marks, "_tessera_rid", "left").select(*docs.columns, "_tessera_spans")
     at = docs.columns.index(text_col)
 
     def run(batches):
