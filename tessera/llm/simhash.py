@@ -28,6 +28,8 @@ PROBE_COST = 16.0
 COST_SAMPLE = 2048
 #: More data rows of one key than this are split over tiles.
 TILE = 4096
+#: At most so many probes of a task are held at once.
+PROBES_HELD = 4_000_000
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -310,6 +312,21 @@ def link_sorted(batches, distance):
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+def _signatures(plan: Thresholds, fp: np.ndarray, values: np.ndarray, t: np.ndarray, with_queries: bool) -> pa.RecordBatch:
+    """(key, role, fp): the key of each part as data (0), and the keys that it probes as a query (1)."""
+    keys, roles, whose = [], [], []
+    for i in range(plan.parts):
+        v = plan.part_value(values, i)
+        keys.append(v), roles.append(np.zeros(len(v), np.int8)), whose.append(fp)
+        for radius in range(plan.distance + 1 if with_queries else 0):
+            own = t[:, i] == radius
+            if own.any():
+                masks = ball(plan.widths[i], radius)
+                k = (v[own][:, None] ^ masks[None, :]).reshape(-1)
+                keys.append(k), roles.append(np.ones(len(k), np.int8)), whose.append(np.repeat(fp[own], len(masks)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(roles)), pa.array(np.concatenate(whose))], names=["key", "role", "fp"])
+
+
 def hamming_links(ws: Workspace, distinct: DataFrame, distance: int) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp`` within ``distance`` bits that connect just what all such
     links connect. Exact: every fingerprint is probed, and a key with many fingerprints is split over tiles."""
@@ -327,23 +344,13 @@ def hamming_links(ws: Workspace, distinct: DataFrame, distance: int) -> DataFram
             for b in batches:
                 fps = b.column(0).to_numpy(zero_copy_only=False)
                 for at in range(0, len(fps), 2000):
-                    fp = fps[at : at + 2000]
-                    values = block_values(fp, blocks)
+                    values = block_values(fps[at : at + 2000], blocks)
                     t, _ = plan.choose(values)
-                    keys, roles, whose = [], [], []
-                    for i in range(plan.parts):
-                        v = plan.part_value(values, i)
-                        keys.append(v), roles.append(np.zeros(len(v), np.int8)), whose.append(fp)
-                        for radius in range(plan.distance + 1 if with_queries else 0):
-                            own = t[:, i] == radius
-                            if own.any():
-                                masks = ball(plan.widths[i], radius)
-                                k = (v[own][:, None] ^ masks[None, :]).reshape(-1)
-                                keys.append(k), roles.append(np.ones(len(k), np.int8)), whose.append(np.repeat(fp[own], len(masks)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys)), pa.array(np.concatenate(roles)), pa.array(np.concatenate(whose))],
-                        names=["key", "role", "fp"],
-                    )
+                    held = np.where(t >= 0, plan.probes[np.arange(plan.parts), np.maximum(t, 0)], 0).sum(axis=1)
+                    part = (np.cumsum(held) // PROBES_HELD).astype(np.int64)  # slices of about so many probes
+                    for n in np.unique(part):
+                        mine = part == n
+                        yield _signatures(plan, fps[at : at + 2000][mine], values[mine], t[mine], with_queries)
 
         return run
 
@@ -363,7 +370,8 @@ def near_duplicates(docs: DataFrame, shingle: int | None = 4, distance: int = 4,
     """(doc_id, fp, component_id): documents whose fingerprints a chain of links joins share the smallest doc_id.
 
     Equal fingerprints are one node, so that copies never meet pairwise. Null texts and texts without words have
-    fingerprint 0 and link like any other; other columns of ``docs`` are not read; an empty table gives no rows.
+    fingerprint 0 and link like any other; texts are read whole, however long; rows that repeat are rows of their own in the same group, and rows
+    without an id join groups but never name one. Other columns of ``docs``, whatever their names, are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "simhash")

@@ -95,6 +95,15 @@ def test_tiles_link_like_pairs():
     assert same(forest) == same(full) and len(q) <= len(set(query.tolist())) + len(data) + len(query)
 
 
+def test_probes_are_made_in_slices(spark, monkeypatch):
+    rows = [(i, int(x)) for i, x in enumerate(np.random.default_rng(4).integers(-(2**62), 2**62, 200))]
+    near = [(1000 + i, fp ^ (1 << (i % 60)) ^ (1 << ((i + 7) % 60))) for i, fp in rows[:80]]
+    distinct = spark.createDataFrame(rows + near, "least long, fp long")
+    whole = {(r.u, r.v) for r in simhash.hamming_links(Workspace(spark, "test"), distinct, 4).collect()}
+    monkeypatch.setattr(simhash, "PROBES_HELD", 500)
+    assert {(r.u, r.v) for r in simhash.hamming_links(Workspace(spark, "test"), distinct, 4).collect()} == whole and len(whole) >= 80
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
