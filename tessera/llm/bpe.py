@@ -23,6 +23,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Chunks that start with one blank after a non-blank are split off alike in any text.
 CHUNKS = re.compile(r"(?<=\S)(?= \S)")
 CACHED, CACHE_CHARS = 600_000, 48
+#: Chunks whose number of ids is remembered.
+COUNTED = 1_200_000
 _BUILT: dict = {}
 
 
@@ -70,6 +72,7 @@ class Bpe:
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.cache: dict[str, bytes] = {}  # of chunks and of pieces: both bounded
         self.known: dict[str, bytes] = {}
+        self.counts: dict[str, int] = {}
 
     @classmethod
     def shared(cls, spec: str) -> Bpe:
@@ -123,7 +126,8 @@ class Bpe:
             at -= length[at]
         return ids[::-1]
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _pieces(self, chunk: str) -> list[bytes]:
+        """The ids of each piece of a chunk."""
         known, out = self.known, []
         for p in self.pieces.findall(chunk):
             if (got := known.get(p)) is None:
@@ -133,6 +137,10 @@ class Bpe:
                         known.clear()
                     known[p] = got
             out.append(got)
+        return out
+
+    def _chunk(self, chunk: str) -> bytes:
+        out = self._pieces(chunk)
         out = b"".join(out)
         if len(chunk) <= CACHE_CHARS:
             if len(self.cache) >= CACHED:
@@ -154,6 +162,22 @@ class Bpe:
         cache, chunk = self.cache, self._chunk
         return b"".join([cache.get(c) or chunk(c) for c in CHUNKS.split(text)])
 
+    def count(self, text: str) -> int:
+        """The number of ids, without making the whole list of them."""
+        if self.specials is not None and self.specials.search(text):
+            return len(self.encode(text)) // 4
+        chunks = CHUNKS.split(text)
+        counts = list(map(self.counts.get, chunks))
+        if None in counts:
+            if len(self.counts) > COUNTED:
+                self.counts.clear()
+            for i, n in enumerate(counts):
+                if n is None:
+                    counts[i] = n = sum(map(len, self._pieces(chunks[i]))) // 4
+                    if len(chunks[i]) <= CACHE_CHARS:
+                        self.counts[chunks[i]] = n
+        return sum(counts)
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
 

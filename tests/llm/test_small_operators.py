@@ -70,6 +70,7 @@ def test_ids_equal_the_library(pair, text):
     mine, theirs = pair
     ids = theirs.encode(text, add_special_tokens=False).ids
     got = mine.encode(text)
+    assert mine.count(text) == len(ids)
     assert np.frombuffer(got, "<u4").tolist() == ids and mine.decode(got) == theirs.decode(ids, skip_special_tokens=False) == text
 
 
