@@ -108,9 +108,15 @@ class Bpe:
             self.pairs[a, b] = got
         return got
 
-    def encode_piece(self, piece: str) -> list[int]:
+    def _text(self, piece: str) -> str:
+        """A piece's bytes as the vocabulary writes them; printable ASCII but the blank stands for itself."""
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", self.letters[32])
         letters = self.letters
-        text = "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+        return "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+
+    def encode_piece(self, piece: str) -> list[int]:
+        text = self._text(piece)
         n = len(text)
         last, length = [-1] * (n + 1), [0] * (n + 1)
         pairs, compatible = self.pairs.get, self.compatible
@@ -139,6 +145,17 @@ class Bpe:
             out.append(got)
         return out
 
+    def _counted(self, chunk: str) -> int:
+        """The number of a chunk's ids; those of its pieces are remembered apart, as words come with many marks."""
+        known, n = self.counts, 0
+        for p in self.pieces.findall(chunk):
+            if (got := known.get(p)) is None:
+                got = len(self.encode_piece(p))
+                if len(p) <= CACHE_CHARS:
+                    known[p] = got
+            n += got
+        return n
+
     def _chunk(self, chunk: str) -> bytes:
         out = self._pieces(chunk)
         out = b"".join(out)
@@ -173,7 +190,7 @@ class Bpe:
                 self.counts.clear()
             for i, n in enumerate(counts):
                 if n is None:
-                    counts[i] = n = sum(map(len, self._pieces(chunks[i]))) // 4
+                    counts[i] = n = self._counted(chunks[i])
                     if len(chunks[i]) <= CACHE_CHARS:
                         self.counts[chunks[i]] = n
         return sum(counts)
