@@ -148,7 +148,9 @@ class Bpe:
     def _counted(self, chunk: str) -> int:
         """The number of a chunk's ids; those of its pieces are remembered apart, as words come with many marks."""
         known, n = self.counts, 0
-        for p in self.pieces.findall(chunk):
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        whole = word.isascii() and word.isalpha()  # ASCII letters, after a blank or none, are one piece
+        for p in [chunk] if whole else self.pieces.findall(chunk):
             if (got := known.get(p)) is None:
                 got = len(self.encode_piece(p))
                 if len(p) <= CACHE_CHARS:
@@ -188,11 +190,10 @@ class Bpe:
         if None in counts:
             if len(self.counts) > COUNTED:
                 self.counts.clear()
-            for i, n in enumerate(counts):
-                if n is None:
-                    counts[i] = n = self._counted(chunks[i])
-                    if len(chunks[i]) <= CACHE_CHARS:
-                        self.counts[chunks[i]] = n
+            for i in [i for i, n in enumerate(counts) if n is None]:
+                counts[i] = n = self._counted(chunks[i])
+                if len(chunks[i]) <= CACHE_CHARS:
+                    self.counts[chunks[i]] = n
         return sum(counts)
 
     def decode(self, ids: bytes) -> str:
