@@ -55,3 +55,15 @@ def test_stages_keep_columns_whose_names_clash(spark, folder):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
         assert {(r.fp, r.k, r.key, r.rid, r.root, r.spans, r.n_removed, r.words, r.score, r.sh) for r in out.collect()} == {(1, 2, 3, 4, 5, "s", 6, 7, 8, 9)}, name
+
+
+def test_line_dedup_links_every_pair_of_the_similarity(spark):
+    """Short lines with a letter changed in all words but one have hardly a word in common, yet over 0.8 of their letters."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(12):
+        w = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(7)]
+        rows += [" ".join(w), " ".join([x[:2] + "q" + x[3:] for x in w[:-1]] + w[-1:])]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {i: ("", 0) if i % 2 else (x, len(x)) for i, x in enumerate(rows)}
