@@ -67,3 +67,22 @@ def test_line_dedup_links_every_pair_of_the_similarity(spark):
     docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert got == {i: ("", 0) if i % 2 else (x, len(x)) for i, x in enumerate(rows)}
+
+
+def test_training_gives_its_memory_back(spark):
+    """What the driver's Python has freed when the tagger is fitted does not stay with it through all later stages."""
+    import re
+
+    from tessera.llm import toxicity
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    before = held()
+    parts = [bytearray(b"x" * 50_000) for _ in range(2_000)]
+    last = parts[::100]  # the freed blocks lie between some that are in use
+    del parts
+    toxicity.fit(docs, labels)
+    assert len(last) == 20 and held() - before < 40
