@@ -89,6 +89,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import Repair, damaged
+
+    found = Repair(damaged(_table(spark, sf_dir, "conversations")))
+    digests = found.digests().withColumnRenamed("conv_id", "_id")
+    return found.report.join(digests, F.col("conv_id").eqNullSafe(F.col("_id"))).drop("_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
