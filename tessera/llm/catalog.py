@@ -97,6 +97,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.report.join(digests, F.col("conv_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import LanguageModel
+
+    docs = _table(spark, sf_dir, "documents")
+    return LanguageModel(docs).score(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
