@@ -17,7 +17,7 @@ from .common import Workspace, fits
 _FOLD = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 #: A task hands on its counts when it holds so many (group, term) pairs.
-HELD = 400_000
+HELD = 1_000_000
 
 #: A term is kept in a language if at least so many of its documents have it.
 LEAST_DOCS = 3
@@ -95,12 +95,11 @@ class Audit:
 
     def pairs(self) -> DataFrame:
         """(lang, source, item, value): for each two different sources of a language the sum over its kept terms of floor((p - q)^2 / q)."""
-        emitted = self.shares.selectExpr("lang", "posexplode(flatten(transform(p, x -> transform(p, y -> (x - y) * (x - y) div y)))) AS (at, f)")
-        sums = emitted.groupBy("lang", "at").agg(F.sum("f").alias("f"))
+        emitted = self.shares.selectExpr("lang", "p", "posexplode(p) AS (i, x)").selectExpr("lang", "i", "posexplode(transform(p, y -> (x - y) * (x - y) div y)) AS (j, f)")
+        sums = emitted.groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))
         sources = self.langs.selectExpr("lang", "sources", "posexplode(sources) AS (i, source)")
-        both = sources.selectExpr("lang", "source", "i", "size(sources) AS width", "posexplode(sources) AS (j, item)").where("i <> j")
-        both = both.selectExpr("lang", "source", "item", "i * width + j AS at")
-        return both.join(sums, ["lang", "at"], "left").selectExpr("lang", "source", "item", "coalesce(f, 0L) AS value")
+        both = sources.selectExpr("lang", "source", "i", "posexplode(sources) AS (j, item)").where("i <> j")
+        return both.join(sums, ["lang", "i", "j"], "left").selectExpr("lang", "source", "item", "coalesce(f, 0L) AS value")
 
     def terms(self) -> DataFrame:
         """(lang, source, item, value): for each group the terms that it has and that are commoner in it than in its language."""
