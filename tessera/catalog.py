@@ -897,3 +897,6 @@ def find_rows(t, spark):
 @query("SELECT r_name, r_regionkey FROM region")
 def reorder_by_type(t, spark):
     return t("region").select("r_name", "r_regionkey").reorder_entries("type_and_name")
+
+
+from . import catalog_more  # noqa: E402, F401 - adds its queries to these
