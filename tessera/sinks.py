@@ -84,81 +84,45 @@ def to_jdbc(url: str, table: str, batch_size: int = 1000, **options) -> Sink:
     return lambda df, mode, parts: df.write.mode(mode).format("jdbc").options(url=url, dbtable=table, batchsize=batch_size, **options).save()
 
 
-def insert_sql(table: str, columns: list[str], rows: int, dialect: str = "postgresql", skip_conflicts: bool = False, conflict_columns: list[str] | None = None, constraint: str | None = None, update_columns: list[str] | None = None) -> str:
-    """One INSERT of several rows, with the dialect's rule for rows that are there already; ``?`` for each value."""
-    names = ", ".join(columns)
-    one = "(" + ", ".join("?" * len(columns)) + ")"
-    sql = f"INSERT INTO {table} ({names}) VALUES {', '.join([one] * rows)}"
+def conflict_sql(columns: list[str], dialect: str = "postgresql", skip_conflicts: bool = False, conflict_columns: list[str] | None = None, constraint: str | None = None, update_columns: list[str] | None = None) -> tuple[str, str]:
+    """The verb before the table, and what follows the rows: the dialect's rule for rows that are there already."""
     changed = update_columns if update_columns is not None else [c for c in columns if c not in (conflict_columns or [])]
     if dialect == "mysql":
         if skip_conflicts:
-            return sql.replace("INSERT INTO", "INSERT IGNORE INTO", 1)
+            return "INSERT IGNORE INTO", ""
         if update_columns is not None:
-            sql += " ON DUPLICATE KEY UPDATE " + ", ".join(f"{c} = VALUES({c})" for c in changed)
-        return sql
+            return "INSERT INTO", " ON DUPLICATE KEY UPDATE " + ", ".join(f"{c} = VALUES({c})" for c in changed)
+        return "INSERT INTO", ""
     if dialect not in ("postgresql", "sqlite"):
         raise ValueError(f"unknown dialect {dialect!r}")
     if skip_conflicts:
-        return sql + " ON CONFLICT DO NOTHING"
+        return "INSERT INTO", " ON CONFLICT DO NOTHING"
     if constraint or conflict_columns:
         target = f"ON CONSTRAINT {constraint}" if constraint else f"({', '.join(conflict_columns)})"
-        sql += f" ON CONFLICT {target} DO UPDATE SET " + ", ".join(f"{c} = excluded.{c}" for c in changed)
-    return sql
-
-
-def update_sql(table: str, columns: list[str], primary: list[str]) -> str:
-    changed = ", ".join(f"{c} = ?" for c in columns if c not in primary)
-    return f"UPDATE {table} SET {changed} WHERE " + " AND ".join(f"{c} = ?" for c in primary)
-
-
-def to_table_insert(connect: Callable, table: str, batch_size: int = 1000, dialect: str = "sqlite", **conflicts) -> Sink:
-    """Bulk inserts over a DB-API connection that ``connect`` opens in each task; columns in the order of their names. A task
-    commits once; one that is retried after its commit inserts again, unless ``conflicts`` (skip_conflicts, conflict_columns) says what becomes of rows that are there."""
-
-    def write(df, mode, parts):
-        columns = sorted(df.columns)
+        return "INSERT INTO", f" ON CONFLICT {target} DO UPDATE SET " + ", ".join(f"{c} = excluded.{c}" for c in changed)
+    return "INSERT INTO", ""
 
-        def send(rows):
-            connection = connect()
-            try:
-                batch: list = []
 
-                def flush():
-                    if batch:
-                        connection.cursor().execute(insert_sql(table, columns, len(batch), dialect, **conflicts), [v for r in batch for v in r])
-                        batch.clear()
-
-                for r in rows:
-                    batch.append([r[c] for c in columns])
-                    if len(batch) == batch_size:
-                        flush()
-                flush()
-                connection.commit()
-            finally:
-                connection.close()
-
-        df.foreachPartition(send)
+def insert_sql(table: str, columns: list[str], rows: int, dialect: str = "postgresql", **conflicts) -> str:
+    """One INSERT of several rows; ``?`` for each value."""
+    verb, rule = conflict_sql(columns, dialect, **conflicts)
+    one = "(" + ", ".join("?" * len(columns)) + ")"
+    return f"{verb} {table} ({', '.join(columns)}) VALUES {', '.join([one] * rows)}{rule}"
 
-    return write
 
+def to_table_insert(connect: Callable, table: str, batch_size: int = 1000, dialect: str = "sqlite", job: str | None = None, **conflicts) -> Sink:
+    """Bulk inserts over DB-API connections that ``connect`` opens; every row once, whatever tasks are run again (see ``tessera.ledger``). ``conflicts`` (skip_conflicts,
+    conflict_columns, update_columns) says what becomes of rows that the table has already. A ``job`` that was written before is not written again."""
+    from .ledger import write_once
 
-def to_table_update(connect: Callable, table: str, primary: list[str]) -> Sink:
-    def write(df, mode, parts):
-        columns = [c for c in sorted(df.columns) if c not in primary]
+    return lambda df, mode, parts: write_once(df, {"connect": connect, "table": table, "batch": batch_size, "dialect": dialect, "conflicts": conflicts}, job)
 
-        def send(rows):
-            connection = connect()
-            try:
-                values = [[*(r[c] for c in columns), *(r[p] for p in primary)] for r in rows]
-                if values:
-                    connection.cursor().executemany(update_sql(table, [*columns, *primary], primary), values)
-                connection.commit()
-            finally:
-                connection.close()
 
-        df.foreachPartition(send)
+def to_table_update(connect: Callable, table: str, primary: list[str], batch_size: int = 1000, job: str | None = None) -> Sink:
+    """Rows of the table with these primary keys get the other columns' values, all in one transaction. A primary key that comes twice is an error, and nothing is changed."""
+    from .ledger import write_once
 
-    return write
+    return lambda df, mode, parts: write_once(df, {"connect": connect, "table": table, "batch": batch_size, "dialect": "sqlite", "primary": primary}, job)
 
 
 def _decoded(v):

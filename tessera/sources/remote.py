@@ -31,8 +31,8 @@ def from_generator(spark: SparkSession, make: Callable[[int], Iterator[dict]], s
     return Frame(_fetched(spark.range(0, tasks, 1, tasks), lambda r: make(r["id"]), schema))
 
 
-def from_db_queries(spark: SparkSession, connect: Callable, query: str, parameter_sets: list[tuple], schema: T.StructType | str) -> Frame:
-    """One run of the query for each set of parameters, each in a task of its own, over DB-API connections."""
+def from_db_queries(spark: SparkSession, connect: Callable, query: str, parameter_sets: list[tuple], schema: T.StructType | str, fetch_size: int = 1000) -> Frame:
+    """One run of the query for each set of parameters, each in a task of its own, over DB-API connections; rows are fetched ``fetch_size`` at a time."""
     requests = spark.createDataFrame([(i,) for i in range(len(parameter_sets))], "i int").repartition(max(1, len(parameter_sets)), "i")
 
     def fetch(request):
@@ -41,7 +41,8 @@ def from_db_queries(spark: SparkSession, connect: Callable, query: str, paramete
             cursor = connection.cursor()
             cursor.execute(query, parameter_sets[request["i"]])
             names = [d[0] for d in cursor.description]
-            yield from (dict(zip(names, r)) for r in cursor)
+            while rows := cursor.fetchmany(fetch_size):
+                yield from (dict(zip(names, r)) for r in rows)
         finally:
             connection.close()
 
@@ -53,7 +54,8 @@ def from_db_query(spark: SparkSession, connect: Callable, query: str, schema: T.
 
 
 def from_db_limit_offset(spark: SparkSession, connect: Callable, table: str, order_by: list[str], schema: T.StructType | str, page_size: int = 1000, maximum: int | None = None) -> Frame:
-    """A table in pages of a stable order; pages are read in parallel."""
+    """A table in pages of a stable order. An offset costs the database all rows before it, so that neighbouring pages are one query, of which there are at
+    most four for each core, and a task takes ``page_size`` rows of it at a time. Where the order is by a unique key, ``from_db_keyset`` reads each row once."""
     if not order_by:
         raise ValueError("pages need an order")
     connection = connect()
@@ -65,10 +67,11 @@ def from_db_limit_offset(spark: SparkSession, connect: Callable, table: str, ord
         connection.close()
     total = total if maximum is None else min(total, maximum)
     sql = f"SELECT * FROM {table} ORDER BY {', '.join(order_by)} LIMIT ? OFFSET ?"
-    pages = [(min(page_size, total - at), at) for at in range(0, total, page_size)]
+    each = page_size * max(1, -(-total // (page_size * 4 * spark.sparkContext.defaultParallelism)))
+    pages = [(min(each, total - at), at) for at in range(0, total, each)]
     if not pages:
         return Frame(spark.createDataFrame([], schema))
-    return from_db_queries(spark, connect, sql, pages, schema)
+    return from_db_queries(spark, connect, sql, pages, schema, page_size)
 
 
 HTTP = "request_uri string, request_method string, status int, body string"
