@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .functions import ref
+from .functions import lit, ref
 from .operators.frame import Frame
 from .operators.temporal import asof_join, interval_join
+from .session import shared_folder
 
 # joins by order
 
@@ -59,3 +60,77 @@ def interval_points(t, spark):
     spans = Frame(t("orders").df.select("o_orderkey", "o_custkey", "o_orderdate", F.expr("o_orderdate + make_interval(0, 0, 0, cast(1 + o_orderkey % 300 AS int)) AS until")))
     found = interval_join(t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"), spans, ("l_shipdate", "l_shipdate"), ("o_orderdate", "until"), {"l_suppkey": "o_custkey"}, closed=False, how="left")
     return found.select("l_orderkey", "l_linenumber", "o_orderkey")
+
+
+# databases
+
+
+def _database(spark, ddl: str):
+    """Connections to a new SQLite file in the shared folder, which has this table."""
+    import os
+    import sqlite3
+    import uuid
+
+    folder = shared_folder(spark).removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/{uuid.uuid4().hex}.db"
+
+    def connect():
+        return sqlite3.connect(path, timeout=60)
+
+    connection = connect()
+    connection.execute(ddl)
+    connection.commit()
+    connection.close()
+    return connect
+
+
+CUSTOMERS = "CREATE TABLE customers (c_custkey INTEGER PRIMARY KEY, c_name TEXT, c_acctbal REAL)"
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def table_insert_keyset(t, spark):
+    from .sinks import to_table_insert
+    from .sources.keyset import from_db_keyset
+
+    connect = _database(spark, CUSTOMERS)
+    f = t("customer").select("c_custkey", "c_name", "c_acctbal")
+    for _ in range(2):  # the second time the ledger knows the job
+        f.write(to_table_insert(connect, "customers", job="customers"))
+    return from_db_keyset(spark, connect, "customers", "c_custkey", "c_custkey long, c_name string, c_acctbal double", page_size=500)
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN upper(c_name) ELSE c_name END AS c_name, CASE WHEN c_nationkey = 3 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def table_update_pages(t, spark):
+    from .sinks import to_table_insert, to_table_update
+    from .sources.remote import from_db_limit_offset
+
+    connect = _database(spark, CUSTOMERS)
+    f = t("customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    f.drop("c_nationkey").write(to_table_insert(connect, "customers"))
+    changed = f.filter(ref("c_nationkey").equals(3)).drop("c_nationkey").with_entries({"c_name": ref("c_name").upper(), "c_acctbal": lit(0.0)})
+    changed.write(to_table_update(connect, "customers", ["c_custkey"]))
+    return from_db_limit_offset(spark, connect, "customers", ["c_custkey"], "c_custkey long, c_name string, c_acctbal double", page_size=300)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000 AND c_custkey <= 1000")
+def keyset_filters(t, spark):
+    from .sinks import to_table_insert
+    from .sources.keyset import from_db_keyset
+
+    connect = _database(spark, CUSTOMERS)
+    t("customer").select("c_custkey", "c_name", "c_acctbal").write(to_table_insert(connect, "customers", skip_conflicts=True))
+    f = from_db_keyset(spark, connect, "customers", ["c_custkey"], "c_custkey long, c_name string, c_acctbal double", ranges=3)
+    return f.filters(ref("c_acctbal").greater_than(5000), ref("c_custkey").less_than_equal(1000)).select("c_custkey", "c_name")
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def db_query_per_set(t, spark):
+    """A query of the database for each set of parameters."""
+    from .sinks import to_table_insert
+    from .sources.remote import from_db_queries
+
+    connect = _database(spark, "CREATE TABLE nations (n_nationkey INTEGER, n_regionkey INTEGER)")
+    t("nation").select("n_nationkey", "n_regionkey").write(to_table_insert(connect, "nations"))
+    sets = [(r.r_regionkey,) for r in t("region").select("r_regionkey").fetch()]
+    return from_db_queries(spark, connect, "SELECT n_regionkey, count(*) AS n FROM nations WHERE n_regionkey = ? GROUP BY 1", sets, "n_regionkey int, n long")
