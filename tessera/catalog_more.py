@@ -134,3 +134,17 @@ def db_query_per_set(t, spark):
     t("nation").select("n_nationkey", "n_regionkey").write(to_table_insert(connect, "nations"))
     sets = [(r.r_regionkey,) for r in t("region").select("r_regionkey").fetch()]
     return from_db_queries(spark, connect, "SELECT n_regionkey, count(*) AS n FROM nations WHERE n_regionkey = ? GROUP BY 1", sets, "n_regionkey int, n long")
+
+
+# cells of markup
+
+
+@query("SELECT l_orderkey, l_linenumber::VARCHAR AS line, l_returnflag AS flag, l_quantity::INTEGER::VARCHAR AS quantity FROM lineitem")
+def xml_nested_cells(t, spark):
+    """Orders as XML texts with repeated and attributed elements, cast to nested values, written and cast again."""
+    line = F.concat(F.lit('<line n="'), "l_linenumber", F.lit('" flag="'), "l_returnflag", F.lit('"><q>'), F.col("l_quantity").cast("int"), F.lit("</q></line>"))
+    texts = t("lineitem").df.groupBy("l_orderkey").agg(F.concat(F.lit("<order>"), F.concat_ws("", F.collect_list(line)), F.lit("</order>")).alias("node"))
+    cast = Frame(texts).cast_xml("node")
+    again = cast.xml_text("node").cast_xml("node", cast.df.schema["node"].dataType)
+    lines = again.df.select("l_orderkey", F.explode("node.order.line").alias("x"))
+    return lines.select("l_orderkey", F.col("x.`@attributes`.n").alias("line"), F.col("x.`@attributes`.flag").alias("flag"), F.col("x.q.`@value`").alias("quantity"))

@@ -138,6 +138,18 @@ class Frame:
     def auto_cast(self) -> Frame:
         return self._with(auto_cast(self.df))
 
+    def cast_xml(self, name: str, schema: T.StructType | None = None) -> Frame:
+        """XML texts as nested values: elements with ``@attributes``, ``@value`` and their children. Without a schema it is merged over all rows first."""
+        from ..functions.markup import cast_xml
+
+        return self._with(cast_xml(self.df, name, schema))
+
+    def xml_text(self, name: str) -> Frame:
+        """Nested values in the form of ``cast_xml`` as XML texts."""
+        from ..functions.markup import xml_text
+
+        return self._with(self.df.withColumn(name, xml_text(F.col(f"`{name}`"), self.df.schema[name].dataType)))
+
     # rows
     def filter(self, e: Expr) -> Frame:
         return self._with(self.df.where(e.predicate(self.ctx)))
