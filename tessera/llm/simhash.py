@@ -371,18 +371,18 @@ def near_duplicates(docs: DataFrame, shingle: int | None = 4, distance: int = 4,
 
     Equal fingerprints are one node, so that copies never meet pairwise. Null texts and texts without words have
     fingerprint 0 and link like any other; texts are read whole, however long; rows that repeat are rows of their own in the same group, and rows
-    without an id join groups but never name one. Other columns of ``docs``, whatever their names, are not read; an empty table gives no rows.
+    without an id link like any other but never name a group (one that has no id at all has no name). Texts of one id are linked only by what they say. Other columns of ``docs``, whatever their names, are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "simhash")
     fps = ws.table(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = ws.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links = ws.table(hamming_links(ws, distinct, distance), "links")
-    a = links.join(distinct.select(F.col("fp").alias("u"), F.col("least").alias("lu")), "u")
-    ab = a.join(distinct.select(F.col("fp").alias("v"), F.col("least").alias("lv")), "v")
-    groups = connected_components(ws, ab.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-    named = distinct.join(groups, distinct.least == groups.node, "left")
-    named = ws.table(named.select("fp", F.coalesce("root", "least").alias("component_id")), "named")
+    groups = connected_components(ws, links)
+    rooted = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = ws.table(rooted, "rooted")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = ws.table(rooted.join(names, "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

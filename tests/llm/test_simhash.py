@@ -122,3 +122,22 @@ def test_thresholds_always_add_up():
         t, cost = simhash.Thresholds(hist, 4, m).choose(np.random.default_rng(1).integers(0, 256, (50, 8)).astype(np.uint8))
         assert (t.sum(axis=1) == 4 - m + 1).all() and (t >= -1).all() and np.isfinite(cost).all()
     assert F is not None
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, 0), (None, 7), (2, 63)],  # a chain through a row without an id
+    [(5, 0), (5, (1 << 40) - 1), (3, 1)],  # one id, two texts: the second one is linked to nothing
+    [(None, 0), (None, 1), (4, 1 << 50 | (1 << 30) - 1)],
+    [(i % 7 or None, (1 << (i % 23)) | (i % 3) << 40) for i in range(80)],
+])
+def test_components_are_of_fingerprints(spark, monkeypatch, rows):
+    df = spark.createDataFrame(rows, "doc_id long, fp long").repartition(2)
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    fps = sorted({fp for _, fp in rows})
+    label = plain_components(fps, fps, 4)
+    least = {}
+    for i, fp in rows:
+        if i is not None:
+            least[label[fp]] = min(i, least.get(label[fp], i))
+    want = sorted(((i, fp, least.get(label[fp])) for i, fp in rows), key=str)
+    assert sorted((tuple(r) for r in simhash.near_duplicates(df, distance=4).collect()), key=str) == want
