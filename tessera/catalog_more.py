@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import query
+from . import functions as fn
+from .catalog import _round_trip, query
 from .functions import lit, ref
 from .operators.frame import Frame
 from .operators.temporal import asof_join, interval_join
@@ -148,3 +149,26 @@ def xml_nested_cells(t, spark):
     again = cast.xml_text("node").cast_xml("node", cast.df.schema["node"].dataType)
     lines = again.df.select("l_orderkey", F.explode("node.order.line").alias("x"))
     return lines.select("l_orderkey", F.col("x.`@attributes`.n").alias("line"), F.col("x.`@attributes`.flag").alias("flag"), F.col("x.q.`@value`").alias("quantity"))
+
+
+# files
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+def json_array_ranges(t, spark):
+    """Arrays written a task a file, read back in ranges of bytes."""
+    from .sinks import to_json
+    from .sources.json_arrays import from_json_array
+
+    f = t("orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return _round_trip(f, spark, lambda p: to_json(p, as_array=True), lambda s, p: from_json_array(s, p, chunk=1 << 20))
+
+
+@query("SELECT p_partkey::VARCHAR AS p_partkey, 'size \"' || p_size || '\", ' || p_name AS label FROM part")
+def csv_doubled_quotes(t, spark):
+    from .sinks import to_csv
+    from .sources.files import from_csv
+
+    label = fn.concat(lit('size "'), ref("p_size").cast("string"), lit('", '), ref("p_name"))
+    f = t("part").with_entry("label", label).select("p_partkey", "label")
+    return _round_trip(f, spark, lambda p: to_csv(p, escape='"'), lambda s, p: from_csv(s, p, separator=",", enclosure='"'))

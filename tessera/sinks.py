@@ -48,14 +48,25 @@ def to_csv(path: str, header: bool = True, separator: str = ",", enclosure: str
 
 
 def to_json(path: str, as_array: bool = False) -> Sink:
-    """A record a line; ``as_array``: one file with one JSON array, for results that fit one task."""
+    """A record a line; ``as_array``: each file is one JSON array, of the rows of one task."""
+
+    def brackets(batches):
+        import pyarrow as pa
+
+        mark = "["
+        for b in batches:
+            if b.num_rows:
+                lines = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([mark + lines[0], *["," + x for x in lines[1:]]])], names=["value"])
+                mark = ","
+        if mark == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
 
     def write(df, mode, parts):
         if not as_array:
             return _writer(df, mode, parts).option("ignoreNullFields", "false").json(path)
-        rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r"))
-        whole = rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value"))
-        return whole.coalesce(1).write.mode(mode).text(path)
+        rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+        return rows.mapInArrow(brackets, "value string").write.mode(mode).text(path)
 
     return write
 

@@ -54,13 +54,37 @@ def csv_detect_separator(spark: SparkSession, path: str, lines: int = 5) -> tupl
     return detect_csv([r.value for r in spark.read.text(path).limit(lines).collect()])
 
 
-def from_csv(spark: SparkSession, path: str, with_header: bool = True, empty_to_null: bool = True, separator: str | None = None, enclosure: str | None = None, escape: str = "\\", schema=None, characters_read_in_line: int | None = None, multi_line: bool = False, input_file_uri: bool = False) -> Frame:
-    """All values are texts unless a schema is given. Short rows are filled with nulls and long ones cut; blank headers become e00, e01 and so on.
-    Separator and enclosure are detected from the first lines where they are not given. Values that hold line ends, which ``to_csv`` quotes, need ``multi_line``; a
+def csv_detect_escape(spark: SparkSession, path: str, separator: str, enclosure: str) -> str:
+    """What stands before an enclosure within a value: a backslash, or another enclosure. All lines are looked at, in one aggregate; files with both are an error, as either reading would lose text."""
+    q, sep = re.escape(enclosure), re.escape(separator)
+    plain = F.replace("value", F.lit("\\" + enclosure), F.lit(""))
+    doubled = plain.rlike(f"[^{sep}]{q}{q}|{q}{q}[^{sep}]")
+    slashed, twice = spark.read.text(path).agg(F.bool_or(F.contains("value", F.lit("\\" + enclosure))), F.bool_or(doubled)).first()
+    if slashed and twice:
+        raise ValueError("enclosures are escaped by backslashes and by doubling; name the escape")
+    return enclosure if twice else "\\"
+
+
+def _numbered(names: list[str]) -> list[str]:
+    """Names that come again get their number: a, a_2, a_3."""
+    out: list[str] = []
+    for n in names:
+        k, new = 1, n
+        while new in out:
+            k += 1
+            new = f"{n}_{k}"
+        out.append(new)
+    return out
+
+
+def from_csv(spark: SparkSession, path: str, with_header: bool = True, empty_to_null: bool = True, separator: str | None = None, enclosure: str | None = None, escape: str | None = None, schema=None, characters_read_in_line: int | None = None, multi_line: bool = False, input_file_uri: bool = False) -> Frame:
+    """All values are texts unless a schema is given. Short rows are filled with nulls and long ones cut; blank headers become e00, e01 and so on, equal ones are numbered.
+    Separator and enclosure are detected from the first lines where they are not given, and the escape (a backslash or the enclosure itself) from all lines. Values that hold line ends, which ``to_csv`` quotes, need ``multi_line``; a
     file is then read by one task."""
     if separator is None or enclosure is None:
         found = csv_detect_separator(spark, path)
         separator, enclosure = separator or found[0], enclosure or found[1]
+    escape = csv_detect_escape(spark, path, separator, enclosure) if escape is None else escape
     options = {"sep": separator, "quote": enclosure, "escape": escape, "mode": "PERMISSIVE", "enforceSchema": "true", "nullValue": "" if empty_to_null else "\0", "emptyValue": ""}
     if multi_line:
         options["multiLine"] = "true"
@@ -72,7 +96,7 @@ def from_csv(spark: SparkSession, path: str, with_header: bool = True, empty_to_
     first = list(head[0])
     parts = [f for f in spark.read.options(**options, header="false").csv(path).schema.names if not re.fullmatch(r"_c\d+", f)]
     first = first[: len(first) - len(parts)] if parts else first
-    names = [(v if with_header and v not in (None, "") else f"e{i:02d}") for i, v in enumerate(first)]
+    names = _numbered([(v if with_header and v not in (None, "") else f"e{i:02d}") for i, v in enumerate(first)])
     kind = T.StructType([T.StructField(n, T.StringType()) for n in names])
     if schema:
         wanted = {f.name: f.dataType for f in _struct(schema)}
