@@ -10,6 +10,7 @@ from .functions import lit, ref
 from .operators.frame import Frame
 from .operators.temporal import asof_join, interval_join
 from .session import shared_folder
+from .sources.memory import from_all
 
 # joins by order
 
@@ -172,3 +173,21 @@ def csv_doubled_quotes(t, spark):
     label = fn.concat(lit('size "'), ref("p_size").cast("string"), lit('", '), ref("p_name"))
     f = t("part").with_entry("label", label).select("p_partkey", "label")
     return _round_trip(f, spark, lambda p: to_csv(p, escape='"'), lambda s, p: from_csv(s, p, separator=",", enclosure='"'))
+
+
+# rows of unlike schemas
+
+
+@query(
+    """SELECT 'order' AS what, o_orderkey AS id, o_totalprice AS price, CAST(NULL AS VARCHAR) AS name, 'ARRAY<DOUBLE>' AS kind FROM orders
+UNION ALL SELECT 'customer', c_custkey, NULL, c_name, 'OBJECT<name: STRING, nation: BIGINT>' FROM customer UNION ALL SELECT 'part', p_partkey, NULL, p_name, 'OBJECT<name: STRING>' FROM part"""
+)
+def unlike_rows_union(t, spark):
+    """Lists, structures and maps in one column: variants, each with a schema of its own, typed again."""
+    from .variants import row_schemas
+
+    orders = Frame(t("orders").df.select(F.lit("order").alias("what"), F.col("o_orderkey").alias("id"), F.array("o_totalprice").alias("value")))
+    customers = Frame(t("customer").df.select(F.lit("customer").alias("what"), F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("value")))
+    parts = Frame(t("part").df.select(F.lit("part").alias("what"), F.col("p_partkey").alias("id"), F.create_map(F.lit("name"), "p_name").alias("value")))
+    rows = row_schemas(from_all(orders, customers, parts).df, "value", "kind")
+    return rows.select("what", "id", F.try_variant_get("value", "$[0]", "double").alias("price"), F.try_variant_get("value", "$.name", "string").alias("name"), "kind")

@@ -105,9 +105,19 @@ def from_csv(spark: SparkSession, path: str, with_header: bool = True, empty_to_
     return _finish(df, input_file_uri)
 
 
-def from_json(spark: SparkSession, path: str, pointer: str | None = None, schema=None, multi_line: bool = True, input_file_uri: bool = False) -> Frame:
-    """A JSON array or object a file, or a record a line (``multi_line=False``). ``pointer`` (``/a/b``) names the part to read."""
+def from_json(spark: SparkSession, path: str, pointer: str | None = None, schema=None, multi_line: bool = True, input_file_uri: bool = False, unlike: bool = False) -> Frame:
+    """A JSON array or object a file, or a record a line (``multi_line=False``). ``pointer`` (``/a/b``) names the part to read; large files are better read by
+    ``from_json_array``. ``unlike``: values on whose type the records do not agree are variants, not texts."""
     reader = spark.read.option("multiLine", str(multi_line).lower())
+    if unlike:
+        from ..variants import typed
+
+        uri = [F.col("_metadata.file_path").alias("_input_file_uri")] if input_file_uri else []
+        rows = typed(reader.option("singleVariantColumn", "row").json(path).select("row", *uri), "row")
+        if isinstance(rows.schema["row"].dataType, T.ArrayType):
+            rows = rows.withColumn("row", F.explode("row"))
+        whole = isinstance(rows.schema["row"].dataType, T.StructType)
+        return Frame(rows.select("row.*" if whole else "row", *rows.columns[1:]))
     if pointer is None:
         return _finish((reader.schema(_struct(schema)) if schema else reader).json(path), input_file_uri)
     df = reader.json(path)

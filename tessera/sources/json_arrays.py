@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.frame import Frame
+from ..variants import merged_schema
 
 #: Bytes of a chunk, and bytes before it that are read along: backslashes before a quote and keys may reach back so far.
 CHUNK, BEFORE = 8 << 20, 1 << 16
@@ -191,16 +192,8 @@ def from_json_array(spark: SparkSession, path: str, pointer: str | None = None,
     if first is None:
         return Frame(spark.createDataFrame([], schema or T.StructType()))
     keys = [k for k in (pointer or "").split("/") if k]
-    kind = schema.simpleString() if schema else merged_schema(elements, "element")
+    kind = schema.simpleString() if schema else merged_schema(elements, F.parse_json("element"))
     value = F.from_json("element", kind) if kind.upper().startswith(("STRUCT<", "ARRAY<")) else F.from_json(F.concat(F.lit('{"v":'), "element", F.lit("}")), f"v {kind}")["v"]
     parsed = elements.select(value.alias(keys[-1] if keys else "value"))
     return Frame(parsed.select(f"`{parsed.columns[0]}`.*") if kind.upper().startswith("STRUCT<") else parsed)
 
-
-def merged_schema(df: DataFrame, column: str) -> str:
-    """The type that all JSON texts of a column agree on, by one aggregate; parts on which they do not agree are variants."""
-    found = df.agg(F.schema_of_variant_agg(F.parse_json(column))).first()[0]
-    parts = re.split("(`(?:[^`]|``)*`)", found)
-    for i in range(0, len(parts), 2):  # outside quoted names
-        parts[i] = re.sub(r"\bDECIMAL\(\d+,\d+\)", "DOUBLE", parts[i]).replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-    return "".join(parts)

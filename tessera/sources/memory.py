@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import variants
 from ..operators.frame import Frame
 from ..schema import Schema, merge_types
 
@@ -62,6 +63,8 @@ def _fit(value: Any, kind: T.DataType) -> Any:
     """The value in its column's type: integers in a column of floats, texts for scalars in a column of texts."""
     if value is None:
         return None
+    if isinstance(kind, T.VariantType):
+        return variants.as_json(value)
     if isinstance(kind, T.DoubleType):
         return float(value)
     if isinstance(kind, T.StringType) and not isinstance(value, str):
@@ -77,7 +80,8 @@ def _fit(value: Any, kind: T.DataType) -> Any:
 
 def from_array(spark: SparkSession, rows: list[dict], schema: Schema | T.StructType | None = None) -> Frame:
     kind = schema.struct if isinstance(schema, Schema) else schema or infer_schema(rows)
-    return Frame(spark.createDataFrame([tuple(_fit(r.get(f.name), f.dataType) for f in kind) for r in rows], kind))
+    df = spark.createDataFrame([tuple(_fit(r.get(f.name), f.dataType) for f in kind) for r in rows], variants.stand_in(kind))
+    return Frame(df.select(*[variants.revived(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in kind]) if variants.holds_variant(kind) else df)
 
 
 from_rows = from_memory = from_array
@@ -94,8 +98,14 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
         for f in df.schema:
             kinds[f.name] = merge_types(kinds[f.name], f.dataType) if f.name in kinds else f.dataType
 
+    def fit(f: T.StructField):
+        c, kind = F.col(f"`{f.name}`"), kinds[f.name]
+        if f.dataType == kind:
+            return c
+        return variants.to_variant(c, f.dataType) if isinstance(kind, T.VariantType) else c.cast(kind)
+
     def cast(df):
-        return df.select(*[(F.col(f"`{f.name}`").cast(kinds[f.name]) if f.dataType != kinds[f.name] else F.col(f"`{f.name}`")).alias(f.name) for f in df.schema])
+        return df.select(*[fit(f).alias(f.name) for f in df.schema])
 
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(cast, frames))
 
