@@ -58,9 +58,16 @@ class Expr:
     """An expression; ``build`` makes its Column. ``bare`` may make a predicate that is null where this one is false,
     which a filter can push down."""
 
+    #: What the value was made from, where a null of something that was not null is a failure.
+    source: Expr | None = None
+
     def __init__(self, build: Callable[[Context], Column], name: str | None = None, bare: Callable[[Context], Column] | None = None) -> None:
         self._build, self.name, self._bare = build, name, bare
 
+    def made_from(self, source: Expr) -> Expr:
+        self.source = source
+        return self
+
     def resolve(self, ctx: Context) -> Column:
         return self._build(ctx)
 
@@ -386,7 +393,7 @@ class Expr:
 
     # dates
     def to_date(self, pattern: str = "Y-m-d", zone: str = "UTC") -> Expr:
-        return Expr(lambda ctx: F.date_trunc("day", _moment(self, pattern, zone, ctx)))
+        return Expr(lambda ctx: F.date_trunc("day", _moment(self, pattern, zone, ctx))).made_from(self)
 
     def to_date_time(self, pattern: str = ATOM, zone: str = "UTC", compat: bool = False) -> Expr:
         """``compat``: a value that is a date and time already loses its time."""
@@ -395,7 +402,7 @@ class Expr:
             out = _moment(self, pattern, zone, ctx)
             return F.date_trunc("day", out) if compat and isinstance(ctx.type_of(self), TIMES) else out
 
-        return Expr(build)
+        return Expr(build).made_from(self)
 
     def date_time_format(self, pattern: str = ATOM) -> Expr:
         return _unary(self, lambda x: F.date_format(x, java_pattern(pattern)), TIMES)
@@ -408,7 +415,7 @@ class Expr:
         return _unary(self, lambda x: F.from_utc_timestamp(x.cast("timestamp"), zone), TIMES)
 
     def cast(self, to: str | T.DataType) -> Expr:
-        return Expr(lambda ctx: cast_column(self.resolve(ctx), ctx.type_of(self), to))
+        return Expr(lambda ctx: cast_column(self.resolve(ctx), ctx.type_of(self), to)).made_from(self)
 
     # nested values
     def array_get(self, path: str) -> Expr:
@@ -546,7 +553,7 @@ class Expr:
 
     def json_decode(self, schema: str | T.DataType | None = None) -> Expr:
         """With a schema a typed value, else a variant; null for bad text."""
-        return Expr(lambda ctx: F.from_json(self.resolve(ctx), schema) if schema is not None else F.try_parse_json(self.resolve(ctx)))
+        return Expr(lambda ctx: F.from_json(self.resolve(ctx), schema) if schema is not None else F.try_parse_json(self.resolve(ctx))).made_from(self)
 
     def json_encode(self) -> Expr:
         def build(ctx):

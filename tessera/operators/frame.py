@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -59,11 +60,11 @@ class Report:
 
 
 class Frame:
-    def __init__(self, df: DataFrame, mode: str = "exception_if_exists", partitions: tuple[str, ...] = (), on_error: str = "throw", batch: int | None = None, orders: tuple = ()) -> None:
-        self.df, self._mode, self._partitions, self._on_error, self._batch, self._orders = df, mode, partitions, on_error, batch, orders
+    def __init__(self, df: DataFrame, mode: str = "exception_if_exists", partitions: tuple[str, ...] = (), on_error: str = "throw", batch: int | None = None, orders: tuple = (), rejects: tuple[DataFrame, ...] = ()) -> None:
+        self.df, self._mode, self._partitions, self._on_error, self._batch, self._orders, self._rejects = df, mode, partitions, on_error, batch, orders, rejects
 
     def _with(self, df: DataFrame | None = None, **changes) -> Frame:
-        state = {"mode": self._mode, "partitions": self._partitions, "on_error": self._on_error, "batch": self._batch} | changes
+        state = {"mode": self._mode, "partitions": self._partitions, "on_error": self._on_error, "batch": self._batch, "rejects": self._rejects} | changes
         return Frame(self.df if df is None else df, **state)
 
     @property
@@ -90,10 +91,26 @@ class Frame:
     def with_entry(self, name: str, e: Any) -> Frame:
         from ..functions.expr import lift
 
-        e, ctx = lift(e), self.ctx
+        e, ctx = e if isinstance(e, Column) else lift(e), self.ctx
         if isinstance(e, Unpack):
             return self._with(self.df.withColumns({f"{name}.{k}": c for k, c in e.columns(ctx).items()}))
-        return self._with(self.df.withColumn(name, e.resolve(ctx)))
+        if self._on_error == "skip" and isinstance(e, Expr) and e.source is not None:
+            failed = e.source.resolve(ctx).isNotNull() & e.resolve(ctx).isNull()
+            return self._sorted_out(self.df.withColumn("_reason", F.when(failed, F.lit(f"{name} has no such value")))).with_entry(name, e.resolve(ctx))
+        return self._with(self.df.withColumn(name, e if isinstance(e, Column) else e.resolve(ctx)))
+
+    def _sorted_out(self, tagged: DataFrame) -> Frame:
+        """Rows without a ``_reason`` go on, the others are kept apart as (row, reason)."""
+        own = [F.col(f"`{c}`") for c in tagged.columns if c != "_reason"]
+        bad = tagged.where("_reason IS NOT NULL").select(F.to_json(F.struct(*own)).alias("row"), F.col("_reason").alias("reason"))
+        return self._with(tagged.where("_reason IS NULL").drop("_reason"), rejects=(*self._rejects, bad))
+
+    def rejected(self) -> Frame:
+        """(row, reason): the rows that steps after ``on_error("skip")`` have left out, as JSON texts, to be written where failures go. It is computed from the frame's
+        own plan when it is read."""
+        if not self._rejects:
+            return self._with(self.df.sparkSession.createDataFrame([], "row string, reason string"), rejects=())
+        return self._with(functools.reduce(DataFrame.unionAll, self._rejects), rejects=())
 
     def with_entries(self, entries: dict[str, Any]) -> Frame:
         """One after the other: later ones see earlier ones."""
@@ -333,11 +350,36 @@ class Frame:
 
     # functions over rows and frames
     def map(self, function: Callable[[dict], dict], schema: T.StructType | str | None = None) -> Frame:
-        """A function of each row as a dictionary, in Arrow batches."""
-        return self._with(arrow_mapped(self.df, lambda r: [function(r)], schema or self.df.schema, self._batch))
+        """A function of each row as a dictionary, in Arrow batches. After ``on_error("skip")`` rows at which it raises are left out, after ``ignore`` they stay as they are."""
+        return self._mapped(lambda r: [function(r)], schema or self.df.schema)
 
     def flat_map(self, function: Callable[[dict], list[dict]], schema: T.StructType | str) -> Frame:
-        return self._with(arrow_mapped(self.df, function, schema, self._batch))
+        return self._mapped(function, schema)
+
+    def _mapped(self, function: Callable[[dict], list[dict]], schema: T.StructType | str) -> Frame:
+        if self._on_error == "throw":
+            return self._with(arrow_mapped(self.df, function, schema, self._batch))
+        kind = self.df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+        open_ = T.StructType([T.StructField(f.name, f.dataType) for f in kind])
+        if self._on_error == "ignore":
+
+            def tried(r: dict) -> list[dict]:
+                try:
+                    return list(function(r))
+                except Exception:  # noqa: BLE001 - any failure of the caller's function leaves the row
+                    return [{n: r.get(n) for n in open_.names}]
+
+            return self._with(arrow_mapped(self.df, tried, open_, self._batch))
+
+        def caught(r: dict) -> list[dict]:
+            try:
+                return list(function(r))
+            except Exception as failure:  # noqa: BLE001 - any failure of the caller's function rejects the row
+                return [{"_row": json.dumps(r, default=str), "_reason": f"{type(failure).__name__}: {failure}"}]
+
+        both = arrow_mapped(self.df, caught, T.StructType([*open_, T.StructField("_row", T.StringType()), T.StructField("_reason", T.StringType())]), self._batch)
+        bad = both.where("_reason IS NOT NULL").select(F.col("_row").alias("row"), F.col("_reason").alias("reason"))
+        return self._with(both.where("_reason IS NULL").drop("_row", "_reason"), rejects=(*self._rejects, bad))
 
     def reduce(self, function: Callable[[Any, dict], Any], initial: Any = None, combine: Callable[[Any, Any], Any] | None = None) -> Any:
         """A fold of all rows as dictionaries. With ``combine`` each task folds its rows, from ``initial``, and the driver combines one value a task; without it
@@ -399,7 +441,10 @@ class Frame:
     save_mode = mode
 
     def on_error(self, how: str) -> Frame:
-        """``throw``, ``skip`` (rows whose record could not be read go) or ``ignore`` (their values are null)."""
+        """What becomes of rows that fail, here and in the steps that follow. ``throw``: the run fails. ``skip``: the rows are left out, and ``rejected`` has them with the reason. ``ignore``: they stay, with null values.
+
+        Rows fail whose record could not be read (``_corrupt_record``), at which a function of ``map`` or ``flat_map`` raises, or, with ``skip``, whose value a cast, a date or a JSON text
+        of an entry cannot be made from (null, else). ``throw`` leaves such entries null, as the rule of expressions is."""
         if how not in ("throw", "skip", "ignore"):
             raise ValueError("throw, skip or ignore")
         df = self.df
@@ -407,8 +452,9 @@ class Frame:
             bad = F.col("_corrupt_record").isNotNull()
             if how == "throw":
                 df = df.where(F.when(bad, F.raise_error(F.lit("a record could not be read")).cast("boolean")).otherwise(True))
-            else:
-                df = df.where(~bad) if how == "skip" else df
+            elif how == "skip":
+                reason = F.when(bad, F.lit("a record could not be read"))
+                return self._with(on_error=how)._sorted_out(df.withColumn("_reason", reason))
         return self._with(df, on_error=how)
 
     def validate(self, wanted: Schema, strict: bool = True) -> Frame:
