@@ -899,4 +899,4 @@ def reorder_by_type(t, spark):
     return t("region").select("r_name", "r_regionkey").reorder_entries("type_and_name")
 
 
-from . import catalog_more  # noqa: E402, F401 - adds its queries to these
+from . import catalog_actions, catalog_more  # noqa: E402, F401 - they add their queries to these
