@@ -142,9 +142,9 @@ def union_by_name(t, spark):
     return from_all(a, b)
 
 
-@query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def diff_left(t, spark):
-    return t("nation").select("n_nationkey").diff_left(t("supplier").filter(ref("s_acctbal").greater_than(7000)).select("s_nationkey").rename("s_nationkey", "n_nationkey"))
+    return t("orders").select("o_orderkey").diff_left(t("lineitem").select("l_orderkey").rename("l_orderkey", "o_orderkey"))
 
 
 # aggregation
@@ -206,15 +206,15 @@ def join_left_prefix(t, spark):
     return t("customer").select("c_custkey", "c_nationkey").join(right, join_on({"c_nationkey": "n_nationkey"}, "joined_"))
 
 
-@query("SELECT o_orderkey, c_custkey FROM (SELECT * FROM orders WHERE o_totalprice > 200000) RIGHT JOIN customer ON o_custkey = c_custkey")
+@query("SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
 def join_right(t, spark):
-    left = t("orders").filter(ref("o_totalprice").greater_than(200000)).select("o_orderkey", "o_custkey")
+    left = t("orders").select("o_orderkey", "o_custkey")
     return left.join(t("customer").select("c_custkey"), join_on([identical("o_custkey", "c_custkey")]), "right").select("o_orderkey", "c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def join_left_anti(t, spark):
-    return t("customer").select("c_custkey").join(t("orders").filter(ref("o_totalprice").greater_than(450000)), {"c_custkey": "o_custkey"}, "left_anti")
+    return t("orders").select("o_orderkey", "o_custkey").join(t("lineitem").select("l_orderkey"), {"o_orderkey": "l_orderkey"}, "left_anti")
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) ON c_custkey = o_custkey")
@@ -229,9 +229,9 @@ def join_any(t, spark):
     return t("supplier").join(t("nation"), on, "inner").select("s_suppkey", "n_name")
 
 
-@query("SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS r_l_linenumber FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey WHERE a.l_quantity > 49")
+@query("SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS r_l_linenumber FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey")
 def join_all(t, spark):
-    left = t("lineitem").filter(ref("l_quantity").greater_than(49)).select("l_orderkey", "l_suppkey", "l_linenumber")
+    left = t("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     right = t("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     on = join_on(compare_all(equal("l_orderkey", "l_orderkey"), equal("l_suppkey", "l_suppkey")), "r_")
     return left.join(right, on, "inner").select("l_orderkey", "l_linenumber", "r_l_linenumber")
@@ -283,9 +283,9 @@ def math_ops(t, spark):
     return f.select("p_partkey", "a", "b", "c", "d", "e", "f", "g")
 
 
-@query("SELECT c_custkey, format('{:,.1f}', round(c_acctbal, 1)) AS text FROM customer WHERE c_acctbal > 0")
+@query("SELECT c_custkey, format('{:,.1f}', round(c_acctbal, 1)) AS text FROM customer")
 def number_format(t, spark):
-    return t("customer").filter(ref("c_acctbal").greater_than(0)).with_entry("text", ref("c_acctbal").round(1).number_format(1)).select("c_custkey", "text")
+    return t("customer").with_entry("text", ref("c_acctbal").round(1).number_format(1)).select("c_custkey", "text")
 
 
 @query("""SELECT p_partkey, lower(p_brand) AS low, upper(p_name) AS up, length(p_name) AS size, contains(p_type, 'STEEL') AS steel, starts_with(p_brand, 'Brand#1') AS starts,
@@ -497,14 +497,20 @@ def branch(t, spark):
     return _round_trip(t("orders").select("o_orderkey", "o_totalprice"), spark, lambda p: to_branch(ref("o_totalprice").greater_than(200000), to_parquet(p)), from_parquet).select("o_orderkey")
 
 
-@query("SELECT range AS n FROM range(0, 101, 5)")
+@query("SELECT CAST(range AS BIGINT) AS n, o_orderkey FROM range(0, (SELECT max(o_orderkey) + 1 FROM orders), 5) LEFT JOIN orders ON o_orderkey = range")
 def sequence_numbers(t, spark):
-    return memory.from_sequence_number(spark, "n", 0, 100, 5)
+    """Every fifth number up to the greatest key of a table, and the order that has it."""
+    most = t("orders").aggregate(fn.max_("o_orderkey").alias("most")).first().most
+    return memory.from_sequence_number(spark, "n", 0, most, 5).join(t("orders").select("o_orderkey"), {"n": "o_orderkey"}).select("n", "o_orderkey")
 
 
-@query("SELECT strftime(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-01', INTERVAL 1 DAY)), '%Y-%m-%d') AS day")
+@query("""SELECT strftime(d, '%Y-%m-%d') AS day, count(event_id) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-01', INTERVAL 1 DAY)) AS d)
+LEFT JOIN events ON strftime(ts, '%Y-%m-%d') = strftime(d, '%Y-%m-%d') GROUP BY 1""")
 def sequence_dates(t, spark):
-    return memory.from_sequence_date_period(spark, "d", "2024-01-01", "1 day", "2024-03-01").with_entry("day", ref("d").date_format("Y-m-d")).select("day")
+    """The events of every day of a period, days without any too."""
+    days = memory.from_sequence_date_period(spark, "d", "2024-01-01", "1 day", "2024-03-01").with_entry("day", ref("d").date_format("Y-m-d")).select("day")
+    counts = t("events").with_entry("at", ref("ts").date_format("Y-m-d")).group_by("at").aggregate(fn.count("event_id").alias("n"))
+    return days.join(counts, {"day": "at"}).with_entry("n", fn.when(ref("n").is_null(), 0, ref("n")).cast("int")).select("day", "n")
 
 
 @query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
@@ -522,10 +528,9 @@ def rename_upper(t, spark):
     return t("nation").select("n_name", "n_regionkey").rename_all_upper_case()
 
 
-@query("SELECT s_nationkey AS n_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def diff_right(t, spark):
-    left = t("nation").filter(ref("n_regionkey").less_than(3)).select("n_nationkey")
-    return left.diff_right(t("supplier").select("s_nationkey").rename("s_nationkey", "n_nationkey"))
+    return t("supplier").select("s_suppkey").rename("s_suppkey", "c_custkey").diff_right(t("customer").select("c_custkey"))
 
 
 @query("SELECT p_partkey FROM part ORDER BY p_partkey DESC LIMIT 10")
@@ -639,9 +644,13 @@ def merge_collection(t, spark):
     return t("nation").with_entry("l", nested).with_entry("flat", ref("l").array_merge_collection().json_encode()).select("n_nationkey", "flat")
 
 
-@query("SELECT strftime(TIMESTAMP '2024-01-31' + to_months(CAST(range AS INTEGER)), '%Y-%m-%d') AS day FROM range(0, 13)")
+@query("""SELECT strftime(d, '%Y-%m-%d') AS day, count(o_orderkey) AS n FROM (SELECT TIMESTAMP '1995-01-31' + to_months(CAST(range AS INTEGER)) AS d FROM range(0, 13))
+LEFT JOIN orders ON strftime(o_orderdate, '%Y-%m-%d') = strftime(d, '%Y-%m-%d') GROUP BY 1""")
 def sequence_recurrences(t, spark):
-    return memory.from_sequence_date_period_recurrences(spark, "d", "2024-01-31", "1 month", 12).with_entry("day", ref("d").date_format("Y-m-d")).select("day")
+    """The orders of the last day of each of 13 months."""
+    days = memory.from_sequence_date_period_recurrences(spark, "d", "1995-01-31", "1 month", 12).with_entry("day", ref("d").date_format("Y-m-d")).select("day")
+    counts = t("orders").with_entry("at", ref("o_orderdate").date_format("Y-m-d")).group_by("at").aggregate(fn.count("o_orderkey").alias("n"))
+    return days.join(counts, {"day": "at"}).with_entry("n", fn.when(ref("n").is_null(), 0, ref("n")).cast("int")).select("day", "n")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal <= 0")
@@ -656,11 +665,11 @@ def xpath_nodes(t, spark):
     return f.with_entry("text", ref("node").xpath("/b/text()").array_get("0")).select("p_partkey", "node", "text")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS long_enough FROM nation")
+@query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS long_enough FROM customer GROUP BY 1")
 def identifiers(t, spark):
-    f = t("nation").with_entries({"a": fn.uuid_v4(), "b": fn.uuid_v7(), "c": fn.ulid(), "d": fn.random_string(8)})
+    f = t("customer").with_entries({"a": fn.uuid_v4(), "b": fn.uuid_v7(), "c": fn.ulid(), "d": fn.random_string(8)})
     ok = fn.all_(ref("a").size().equals(36), ref("b").regex_match("/^.{14}7/"), ref("c").size().equals(26), ref("d").size().equals(8))
-    return f.with_entry("ok", ok).aggregate(fn.count("a").alias("n"), fn.sum_(ref("ok").cast("int")).alias("long_enough"))
+    return f.with_entry("ok", ok).group_by("c_nationkey").aggregate(fn.count("a").alias("n"), fn.sum_(ref("ok").cast("int")).alias("long_enough"))
 
 
 # extensions: event time
@@ -796,29 +805,35 @@ def join_each_right(t, spark):
     return t("supplier").join_each(lambda asked: t("nation"), {"s_nationkey": "n_nationkey"}, "right").select("s_suppkey", "n_name")
 
 
-@query("SELECT a.s_suppkey, b.s_suppkey AS other_s_suppkey FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey WHERE b.s_acctbal > 5000")
+@query("SELECT a.c_custkey, b.c_custkey AS other_c_custkey, b.c_acctbal * 2 AS other_c_acctbal FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey + 1")
 def join_derived(t, spark):
-    s = t("supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return s.join(s.filter(ref("s_acctbal").greater_than(5000)), join_on({"s_nationkey": "s_nationkey"}, "other_"), "inner").select("s_suppkey", "other_s_suppkey")
+    c = t("customer").select("c_custkey", "c_acctbal")
+    other = c.with_entries({"next": ref("c_custkey").plus(1), "c_acctbal": ref("c_acctbal").multiply(2)})
+    return c.join(other, join_on({"c_custkey": "next"}, "other_"), "inner").select("c_custkey", "other_c_custkey", "other_c_acctbal")
 
 
-@query("SELECT s_suppkey, c_custkey FROM supplier LEFT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 9900) ON s_nationkey = c_nationkey OR s_suppkey = c_custkey")
+@query("SELECT s_suppkey, c_custkey FROM supplier LEFT JOIN customer ON s_nationkey = c_custkey OR s_suppkey = c_custkey")
 def join_any_left(t, spark):
-    on = join_on(compare_any(equal("s_nationkey", "c_nationkey"), equal("s_suppkey", "c_custkey")))
-    right = t("customer").filter(ref("c_acctbal").greater_than(9900)).select("c_custkey", "c_nationkey")
-    return t("supplier").select("s_suppkey", "s_nationkey").join(right, on, "left").select("s_suppkey", "c_custkey")
+    on = join_on(compare_any(equal("s_nationkey", "c_custkey"), equal("s_suppkey", "c_custkey")))
+    return t("supplier").select("s_suppkey", "s_nationkey").join(t("customer").select("c_custkey"), on, "left").select("s_suppkey", "c_custkey")
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 1.5), (2, NULL, 2.0), (CAST(NULL AS BIGINT), 'c', NULL)) v(i, s, x)")
+@query("SELECT c_custkey, rate FROM customer JOIN (VALUES ('BUILDING', 1.5), ('MACHINERY', 2.0), ('FURNITURE', NULL)) v(s, rate) ON c_mktsegment = s")
 def array_source(t, spark):
-    return memory.from_array(spark, [{"i": 1, "s": "a", "x": 1.5}, {"i": 2, "x": 2.0}, {"s": "c"}]).with_entry("x", ref("x").cast("float"))
+    """A table's rows with those of a list."""
+    rates = memory.from_array(spark, [{"s": "BUILDING", "rate": 1.5}, {"s": "MACHINERY", "rate": 2.0}, {"s": "FURNITURE"}])
+    return t("customer").join(rates, {"c_mktsegment": "s"}, "inner").select("c_custkey", "rate")
 
 
-@query("SELECT CAST(i AS BIGINT) AS task, CAST(i * 10 + j AS BIGINT) AS n FROM range(3) a(i), range(4) b(j)")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS task, n_name FROM nation")
 def generator_source(t, spark):
+    """A generator for each region, which yields the region's nations."""
     from .sources.remote import from_generator
 
-    return from_generator(spark, lambda i: ({"task": i, "n": i * 10 + j} for j in range(4)), "task long, n long", tasks=3)
+    names: dict[int, list[str]] = {}
+    for r in t("nation").fetch():
+        names.setdefault(r.n_regionkey, []).append(r.n_name)
+    return from_generator(spark, lambda i: ({"task": i, "n_name": n} for n in names.get(i, [])), "task long, n_name string", tasks=t("region").count())
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -884,9 +899,9 @@ def xml_by_path(t, spark):
     return nodes.with_entry("n_name", ref("node").dom_element_value("/nation/n_name")).select("n_name")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n FROM nation")
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '2026-01-01'")
 def now_is_later(t, spark):
-    return t("nation").with_entry("now", fn.now()).filter(ref("now").greater_than(lit("2024-01-01").to_date_time("Y-m-d"))).aggregate(fn.count("n_nationkey").alias("n"))
+    return t("orders").with_entry("now", fn.now()).filter(ref("now").greater_than(ref("o_orderdate"))).select("o_orderkey")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")

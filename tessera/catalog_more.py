@@ -191,3 +191,46 @@ def unlike_rows_union(t, spark):
     parts = Frame(t("part").df.select(F.lit("part").alias("what"), F.col("p_partkey").alias("id"), F.create_map(F.lit("name"), "p_name").alias("value")))
     rows = row_schemas(from_all(orders, customers, parts).df, "value", "kind")
     return rows.select("what", "id", F.try_variant_get("value", "$[0]", "double").alias("price"), F.try_variant_get("value", "$.name", "string").alias("name"), "kind")
+
+
+# windows and groups beyond the usual ones
+
+
+@query(
+    """SELECT o_orderkey, lag(o_totalprice) OVER w AS before, lead(o_orderkey, 2, -1) OVER w AS after, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 9) AS part,
+first_value(o_orderkey) OVER w AS first_order, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_order
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
+)
+def window_offsets(t, spark):
+    w = fn.window().partition_by("o_custkey").order_by("o_orderdate", "o_orderkey")
+    f = t("orders").with_entries({"before": fn.lag("o_totalprice").over(w), "after": fn.lead("o_orderkey", 2, -1).over(w), "quarter": fn.ntile(4).over(w)})
+    f = f.with_entries({"part": fn.percent_rank().over(w), "first_order": fn.first_value("o_orderkey").over(w), "second_order": fn.nth_value("o_orderkey", 2).over(w)})
+    return f.with_entry("part", ref("part").round(9)).select("o_orderkey", "before", "after", "quarter", "part", "first_order", "second_order")
+
+
+@query(
+    """SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS within_hour,
+round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING), 4) AS near_sum,
+max(user_id) OVER (PARTITION BY event_type ORDER BY user_id RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near_user FROM events"""
+)
+def window_frames(t, spark):
+    w = fn.window().partition_by("event_type")
+    f = t("events").with_entry("within_hour", fn.count("event_id").over(w.order_by("ts").range_between(-3600, 0)))
+    f = f.with_entry("near_sum", fn.sum_("value").over(w.order_by("ts", "event_id").rows_between(-3, 1))).with_entry("near_user", fn.max_("user_id").over(w.order_by("user_id").range_between(-5, 5)))
+    return f.with_entry("near_sum", ref("near_sum").round(4)).select("event_id", "within_hour", "near_sum", "near_user")
+
+
+@query(
+    """WITH l AS (SELECT *, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag FROM lineitem)
+SELECT flag, l_linestatus, CAST(GROUPING(flag, l_linestatus) AS INTEGER) AS level, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM l GROUP BY CUBE (flag, l_linestatus)"""
+)
+def cube_with_null_keys(t, spark):
+    """A key that has nulls of its own beside totals."""
+    flag = fn.when(ref("l_returnflag").not_equals("N"), ref("l_returnflag"))
+    f = t("lineitem").with_entry("flag", flag).group_by("flag", "l_linestatus").cube("level").aggregate(fn.count("l_orderkey").alias("n"), fn.sum_("l_quantity").alias("quantity"))
+    return f.with_entry("quantity", ref("quantity").round(2))
+
+
+@query("SELECT c_nationkey, c_mktsegment, CAST(GROUPING(c_nationkey, c_mktsegment) AS INTEGER) AS grouping, count(*) AS n, max(c_nationkey) AS most FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)")
+def rollup_levels(t, spark):
+    return t("customer").group_by("c_nationkey", "c_mktsegment").rollup().aggregate(fn.count("c_custkey").alias("n"), fn.max_("c_nationkey").alias("most"))

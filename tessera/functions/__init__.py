@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .aggregates import Agg, Window, average, collect, collect_unique, count, count_non_null, dens_rank, dense_rank, first, last, max_, min_, rank, row_number, sum_, window
+from .aggregates import Agg, Window, average, collect, collect_unique, count, count_non_null, cume_dist, dens_rank, dense_rank, first, first_value, lag, last, last_value, lead, max_, min_, nth_value, ntile, percent_rank, rank, row_number, sum_, window
 from .expr import Expr, all_, any_, as_expr, col, entry, lift, lit, not_, optional, ref, refs, when
 
 

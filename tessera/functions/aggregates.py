@@ -13,16 +13,30 @@ from .expr import NUMBERS, TIMES, Context, Expr, as_expr
 
 
 class Window:
-    """Immutable: partition and order. Aggregates see the whole partition; ranks follow the order."""
+    """Immutable: partition, order and frame. Without a frame aggregates see the whole partition; ranks and offsets follow the order.
 
-    def __init__(self, partitions: tuple = (), orders: tuple = ()) -> None:
-        self.partitions, self.orders = partitions, orders
+    Frames go beyond the usual windows: ``rows_between`` counts rows, ``range_between`` distances of the one number or time that orders (for times in seconds). None is an open end, 0 the row
+    itself (with RANGE and its equals), negative numbers are before it."""
+
+    def __init__(self, partitions: tuple = (), orders: tuple = (), frame: tuple | None = None) -> None:
+        self.partitions, self.orders, self.frame = partitions, orders, frame
 
     def partition_by(self, *keys: str | Expr) -> Window:
-        return Window(self.partitions + tuple(map(as_expr, keys)), self.orders)
+        return Window(self.partitions + tuple(map(as_expr, keys)), self.orders, self.frame)
 
     def order_by(self, *orders) -> Window:
-        return Window(self.partitions, self.orders + tuple(o if isinstance(o, tuple) else (as_expr(o), True) for o in orders))
+        return Window(self.partitions, self.orders + tuple(o if isinstance(o, tuple) else (as_expr(o), True) for o in orders), self.frame)
+
+    def _framed(self, kind: str, start: float | None, end: float | None) -> Window:
+        if start is not None and end is not None and start > end:
+            raise ValueError("a frame ends before it begins")
+        return Window(self.partitions, self.orders, (kind, start, end))
+
+    def rows_between(self, start: int | None, end: int | None) -> Window:
+        return self._framed("rows", start, end)
+
+    def range_between(self, start: float | None, end: float | None) -> Window:
+        return self._framed("range", start, end)
 
     def spec(self, ctx: Context, extra: tuple = ()) -> WindowSpec:
         return SparkWindow.partitionBy(*[p.resolve(ctx) for p in (*self.partitions, *extra)])
@@ -32,6 +46,28 @@ class Window:
             raise ValueError("a rank needs an order")
         return self.spec(ctx).orderBy(*[sort_column(o, ctx) for o in self.orders])
 
+    def framed(self, ctx: Context) -> WindowSpec:
+        """With the frame, or the whole partition."""
+        if self.frame is None:
+            return self.spec(ctx).rowsBetween(SparkWindow.unboundedPreceding, SparkWindow.unboundedFollowing)
+        kind, start, end = self.frame
+        low = SparkWindow.unboundedPreceding if start is None else start
+        high = SparkWindow.unboundedFollowing if end is None else end
+        if not self.orders:
+            raise ValueError("a frame needs an order")
+        if kind == "rows":
+            return self.ordered(ctx).rowsBetween(low, high)
+        if len(self.orders) != 1:
+            raise ValueError("a range has one order")
+        e, up = self.orders[0]
+        at, of = e.resolve(ctx), ctx.type_of(e)
+        if isinstance(of, TIMES):
+            at = F.unix_micros(at.cast("timestamp"))
+            low, high = (x if abs(x) > 2**62 else int(x * 1_000_000) for x in (low, high))
+        elif not isinstance(of, NUMBERS):
+            raise TypeError(f"no distances between values of {of.simpleString()}")
+        return self.spec(ctx).orderBy(at.asc_nulls_first() if up else at.desc_nulls_last()).rangeBetween(low, high)
+
 
 def sort_column(order, ctx: Context) -> Column:
     e, up = order if isinstance(order, tuple) else (as_expr(order), True)
@@ -59,8 +95,7 @@ class Agg:
     def over(self, w: Window) -> Expr:
         if self._over:
             return Expr(lambda ctx: self._over(ctx, self.e, w), name=self.name)
-        whole = (SparkWindow.unboundedPreceding, SparkWindow.unboundedFollowing)
-        return Expr(lambda ctx: self.build(ctx, self.e).over(w.spec(ctx).rowsBetween(*whole)), name=self.name)
+        return Expr(lambda ctx: self.build(ctx, self.e).over(w.framed(ctx)), name=self.name)
 
 
 def _number(ctx: Context, e: Expr) -> Column:
@@ -79,23 +114,21 @@ def sum_(e: str | Expr) -> Agg:
         return F.coalesce(F.sum(x), F.lit(0))
 
     def over(ctx, e, w):
-        whole = w.spec(ctx).rowsBetween(SparkWindow.unboundedPreceding, SparkWindow.unboundedFollowing)
-        return F.coalesce(F.sum(_number(ctx, e)).over(whole), F.lit(0))
+        return F.coalesce(F.sum(_number(ctx, e)).over(w.framed(ctx)), F.lit(0))
 
     return Agg("sum", e, build, over)
 
 
 def average(e: str | Expr) -> Agg:
     def over(ctx, e, w):
-        whole = w.spec(ctx).rowsBetween(SparkWindow.unboundedPreceding, SparkWindow.unboundedFollowing)
-        return F.coalesce(F.avg(_number(ctx, e)).over(whole), F.lit(0.0))
+        return F.coalesce(F.avg(_number(ctx, e)).over(w.framed(ctx)), F.lit(0.0))
 
     return Agg("avg", e, lambda ctx, e: F.coalesce(F.avg(_number(ctx, e)), F.lit(0.0)), over)
 
 
 def count(e: str | Expr) -> Agg:
-    """Rows, nulls included. Over a window: rows of the partition with the same value."""
-    return Agg("count", e, lambda ctx, e: F.count(F.lit(1)), lambda ctx, e, w: F.count(F.lit(1)).over(w.spec(ctx, (e,))))
+    """Rows, nulls included. Over a window: rows of the partition with the same value; of one with a frame, the frame's rows."""
+    return Agg("count", e, lambda ctx, e: F.count(F.lit(1)), lambda ctx, e, w: F.count(F.lit(1)).over(w.framed(ctx) if w.frame else w.spec(ctx, (e,))))
 
 
 def count_non_null(e: str | Expr) -> Agg:
@@ -165,3 +198,52 @@ def dense_rank() -> Ranking:
 
 
 dens_rank = dense_rank
+
+
+# windows beyond the usual ones
+
+
+class Offset:
+    """A value of another row of the window's order."""
+
+    def __init__(self, name: str, e: str | Expr, made: Callable[[Column], Column], framed: bool = False) -> None:
+        self.e = as_expr(e)
+        self.name, self._made, self._framed = f"{self.e.name or 'value'}_{name}", made, framed
+
+    def over(self, w: Window) -> Expr:
+        """First and last values are those of the frame; without one, of the whole partition in its order."""
+        if not self._framed:
+            return Expr(lambda ctx: self._made(self.e.resolve(ctx)).over(w.ordered(ctx)), name=self.name)
+        return Expr(lambda ctx: self._made(self.e.resolve(ctx)).over((w if w.frame else w.rows_between(None, None)).framed(ctx)), name=self.name)
+
+
+def lag(e: str | Expr, n: int = 1, default=None) -> Offset:
+    return Offset("lag", e, lambda c: F.lag(c, n, default))
+
+
+def lead(e: str | Expr, n: int = 1, default=None) -> Offset:
+    return Offset("lead", e, lambda c: F.lead(c, n, default))
+
+
+def first_value(e: str | Expr, ignore_nulls: bool = False) -> Offset:
+    return Offset("first_value", e, lambda c: F.first_value(c, F.lit(ignore_nulls)), framed=True)
+
+
+def last_value(e: str | Expr, ignore_nulls: bool = False) -> Offset:
+    return Offset("last_value", e, lambda c: F.last_value(c, F.lit(ignore_nulls)), framed=True)
+
+
+def nth_value(e: str | Expr, n: int) -> Offset:
+    return Offset("nth_value", e, lambda c: F.nth_value(c, n), framed=True)
+
+
+def ntile(n: int) -> Ranking:
+    return Ranking("ntile", lambda: F.ntile(n))
+
+
+def percent_rank() -> Ranking:
+    return Ranking("percent_rank", F.percent_rank)
+
+
+def cume_dist() -> Ranking:
+    return Ranking("cume_dist", F.cume_dist)

@@ -562,8 +562,29 @@ class Frame:
 
 
 class Grouped:
-    def __init__(self, frame: Frame, keys: tuple[Expr, ...], pivot: tuple | None = None) -> None:
-        self.frame, self.keys, self._pivot = frame, keys, pivot
+    def __init__(self, frame: Frame, keys: tuple[Expr, ...], pivot: tuple | None = None, sets: list[tuple[str, ...]] | None = None, level: str = "grouping") -> None:
+        self.frame, self.keys, self._pivot, self._sets, self._level = frame, keys, pivot, sets, level
+
+    def grouping_sets(self, *sets: list[str] | tuple[str, ...], level: str = "grouping") -> Grouped:
+        """Groups by each of these sets of the keys' names, in one pass; a further capability of this library. ``level`` names a column that tells which keys
+        a row leaves out: the sum of powers of two, the last key's being 1. So the null of a key that is left out differs from a null value."""
+        names = [k.name for k in self.keys]
+        unknown = {n for s in sets for n in s if n not in names}
+        if unknown or not sets:
+            raise ValueError(f"sets are of the keys {', '.join(map(str, names))}")
+        return Grouped(self.frame, self.keys, None, [tuple(s) for s in sets], level)
+
+    def rollup(self, level: str = "grouping") -> Grouped:
+        """All keys, then without the last one, and so on to the total."""
+        names = [k.name for k in self.keys]
+        return self.grouping_sets(*[names[:n] for n in range(len(names), -1, -1)], level=level)
+
+    def cube(self, level: str = "grouping") -> Grouped:
+        """Every subset of the keys."""
+        import itertools
+
+        names = [k.name for k in self.keys]
+        return self.grouping_sets(*[s for n in range(len(names), -1, -1) for s in itertools.combinations(names, n)], level=level)
 
     def pivot(self, column: str, values: list | None = None) -> Grouped:
         """A column for each value; without ``values`` one distinct query finds them first."""
@@ -571,6 +592,13 @@ class Grouped:
 
     def aggregate(self, *aggs: Agg) -> Frame:
         ctx = self.frame.ctx
+        if self._sets is not None:
+            # keys of their own: an aggregate of a key sees its values where the key is left out
+            kept = self.frame.df.withColumns({f"_key_{i}": k.resolve(ctx) for i, k in enumerate(self.keys)})
+            place = {k.name: F.col(f"_key_{i}") for i, k in enumerate(self.keys)}
+            grouped = kept.groupingSets([[place[n] for n in s] for s in self._sets], *place.values())
+            made = grouped.agg(F.grouping_id().cast("int").alias(self._level), *[a.resolve(ctx).alias(a.name) for a in aggs])
+            return self.frame._with(made.withColumnsRenamed({f"_key_{i}": k.name for i, k in enumerate(self.keys)}))
         keys = [k.resolve(ctx).alias(k.name or f"key_{i}") for i, k in enumerate(self.keys)]
         grouped = self.frame.df.groupBy(*keys)
         if self._pivot:
