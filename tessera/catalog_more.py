@@ -234,3 +234,19 @@ def cube_with_null_keys(t, spark):
 @query("SELECT c_nationkey, c_mktsegment, CAST(GROUPING(c_nationkey, c_mktsegment) AS INTEGER) AS grouping, count(*) AS n, max(c_nationkey) AS most FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)")
 def rollup_levels(t, spark):
     return t("customer").group_by("c_nationkey", "c_mktsegment").rollup().aggregate(fn.count("c_custkey").alias("n"), fn.max_("c_nationkey").alias("most"))
+
+
+@query("SELECT l_returnflag, TRUE AS parts_close, TRUE AS median_close, count(*) AS n FROM lineitem GROUP BY 1")
+def sketches_merged(t, spark):
+    """Sketches for each flag and supplier, merged for each flag, against exact counts and ranks: within four standard errors, and 2 % of all ranks."""
+    from .functions import sketches as sk
+
+    keyed = t("lineitem").select("l_returnflag", "l_suppkey", "l_partkey", "l_extendedprice")
+    parts = keyed.group_by("l_returnflag", "l_suppkey").aggregate(sk.distinct_sketch("l_partkey").alias("d"), sk.quantile_sketch("l_extendedprice").alias("q"))
+    merged = parts.group_by("l_returnflag").aggregate(sk.merge_distinct("d").alias("d"), sk.merge_quantiles("q").alias("q"))
+    merged = merged.with_entries({"distinct": sk.distinct_estimate("d"), "median": sk.quantile("q", 0.5)}).drop("d", "q")
+    exact = keyed.df.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("truly"), F.count(F.lit(1)).alias("n"))
+    below = keyed.df.join(F.broadcast(merged.df), "l_returnflag").groupBy("l_returnflag").agg(F.avg((F.col("l_extendedprice") <= F.col("median")).cast("int")).alias("rank"))  # one row a flag
+    both = merged.df.join(exact, "l_returnflag").join(below, "l_returnflag")
+    close = F.abs(F.col("distinct") - F.col("truly")) <= 4 * sk.distinct_error() * F.col("truly")
+    return both.select("l_returnflag", close.alias("parts_close"), (F.abs(F.col("rank") - 0.5) < 0.02).alias("median_close"), "n")
