@@ -150,6 +150,35 @@ rows_ AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coales
  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM s WHERE n > 0 AND p > q),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows_)
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE poly AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT d.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS harm FROM d, poly),
+x AS (SELECT conv_id, turn, unnest(CASE WHEN harm = 3 THEN [0, 1] ELSE [0] END) AS copy, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+ CASE WHEN harm = 1 THEN '' WHEN harm = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM h WHERE harm <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role)::VARCHAR || ':' || role || text), copy) AS i, substr(role, 1, 1) AS r FROM x),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+ NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS two FROM o),
+g AS (SELECT *, blank OR again AS gone, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS w, role || ':' || text AS line FROM f),
+s AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+ count(*) FILTER (w > 0) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT conv_id, 0::BIGINT AS i, {'c': 0, 's': '', 'b': ''} AS v0, {'c': 1000000000, 's': '', 'b': ''} AS v1, {'c': 1000000000, 's': '', 'b': ''} AS v2, {'c': 1000000000, 's': '', 'b': ''} AS v3 FROM s
+ UNION ALL
+ SELECT conv_id, i, {'c': v0.c + 4, 's': v0.s || 'D', 'b': v0.b},
+  list_min([{'c': v1.c + 4, 's': v1.s || 'D', 'b': v1.b}, {'c': CASE WHEN r = 's' AND NOT gone THEN v0.c + w ELSE 1000000000 END, 's': v0.s || 'K', 'b': v0.b || chr(10) || line}]),
+  list_min(list_concat([{'c': a2.c + 4, 's': a2.s || 'D', 'b': a2.b}], flatten(list_transform([v0, v1, a3], lambda z: [
+   {'c': CASE WHEN gone THEN 1000000000 ELSE z.c + 3 + w END, 's': z.s || 'R', 'b': z.b || chr(10) || 'user:' || text},
+   {'c': CASE WHEN r = 'u' AND NOT gone THEN z.c + w ELSE 1000000000 END, 's': z.s || 'K', 'b': z.b || chr(10) || line}])))),
+  list_min([{'c': a3.c + 4, 's': a3.s || 'D', 'b': a3.b}, {'c': CASE WHEN gone THEN 1000000000 ELSE a2.c + 3 + w END, 's': a2.s || 'R', 'b': a2.b || chr(10) || 'assistant:' || text},
+   {'c': CASE WHEN r = 'a' AND NOT gone THEN a2.c + w ELSE 1000000000 END, 's': a2.s || 'K', 'b': a2.b || chr(10) || line}])
+ FROM (SELECT q.conv_id, g.i, g.r, g.gone, g.w, g.line, g.text, v0, v1,
+  list_min(list_concat([v2], list_transform([v0, v1, v3], lambda z: {'c': z.c + 3, 's': z.s || 'I', 'b': z.b || chr(10) || 'user:'}))) AS a2,
+  list_min(list_concat([v3, {'c': v2.c + 3, 's': v2.s || 'I', 'b': v2.b || chr(10) || 'assistant:'}], list_transform([v0, v1], lambda z: {'c': z.c + 6, 's': z.s || 'II', 'b': z.b || chr(10) || 'user:' || chr(10) || 'assistant:'}))) AS a3
+  FROM p q JOIN g ON g.conv_id IS NOT DISTINCT FROM q.conv_id AND g.i = q.i + 1)),
+e AS (SELECT s.*, list_min([v0, v3, {'c': v2.c + 3, 's': v2.s || 'I', 'b': v2.b || chr(10) || 'assistant:'}, {'c': v1.c + 6, 's': v1.s || 'II', 'b': v1.b || chr(10) || 'user:' || chr(10) || 'assistant:'}]) AS v
+ FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = s.n)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(v.c, 0) AS BIGINT) AS cost,
+ coalesce(v.s, '') AS audit, sha256(coalesce(substr(v.b, 2), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN e ON a.conv_id IS NOT DISTINCT FROM e.conv_id""",
 }
 
 
