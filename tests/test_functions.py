@@ -10,6 +10,7 @@ from tessera import functions as fn
 from tessera.functions import lit, ref, window
 from tessera.functions.paths import steps
 from tessera.functions.styles import java_pattern, restyle
+from tessera.operators.frame import Frame
 from tessera.sources.memory import from_array
 
 
@@ -196,3 +197,11 @@ def test_padding_and_splitting_models(spark, rows):
 def test_call_method(spark):
     assert one(spark, ref("x").method(lambda v: v * 2, "long"), x=4) == 8
     assert F is not None
+
+
+def test_zero_keeps_its_sign(spark):
+    e = {"near": ref("x").round(1), "even": ref("x").round(1, "half_even"), "text": ref("x").round(1).number_format(1), "whole": ref("x").number_format(0)}
+    df = Frame(spark.createDataFrame([(-0.04,), (0.04,), (-0.0,), (0.0,), (-0.05,), (None,)], "x double")).with_entries(e).df
+    assert [(str(r.near), str(r.even), r.text, r.whole) for r in df.collect()] == [
+        ("-0.0", "-0.0", "-0.0", "-0"), ("0.0", "0.0", "0.0", "0"), ("-0.0", "-0.0", "-0.0", "-0"), ("0.0", "0.0", "0.0", "0"), ("-0.1", "-0.0", "-0.1", "-0"), ("None", "None", None, None),
+    ]
