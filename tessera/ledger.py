@@ -114,6 +114,7 @@ class TableWriter(ds.DataSourceWriter):
         names = ", ".join(self.columns)
         if primary:
             keys = ", ".join(primary)
+            cursor.execute(f"CREATE INDEX {self.stage}_keys ON {self.stage} ({keys})")  # each row of the table looks for its own; without it each reads the whole stage
             cursor.execute(f"SELECT {keys} FROM {self.stage} GROUP BY {keys} HAVING count(*) > 1 LIMIT 1")
             if twice := cursor.fetchone():
                 raise ValueError(f"two rows have the primary key {tuple(twice)}")

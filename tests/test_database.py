@@ -146,6 +146,18 @@ def test_a_job_is_written_once(spark, tmp_path):
     assert content(connect)[:11] == [(i, f"N{i}") for i in range(10)] + [(10, "n10")]
 
 
+def test_updates_look_keys_up_in_the_stage(tmp_path):
+    connect = _table(str(tmp_path / "t.db"))
+    spec = {"connect": connect, "table": "t", "batch": 2, "dialect": "sqlite", "primary": ["id"], "run": "r", "job": "j"}
+    writer = ledger.TableWriter(spec, ["id", "name"])
+    assert writer.prepare()
+    connection = connect()
+    cursor = connection.cursor()
+    plan = [r[-1] for r in cursor.execute("EXPLAIN QUERY PLAN " + writer.merge_sql(cursor)).fetchall()]
+    connection.close()
+    assert any(f"SEARCH {writer.stage} USING INDEX" in x for x in plan) and not any(f"SCAN {writer.stage}" in x for x in plan)
+
+
 def test_attempts_that_do_not_count_leave_nothing(tmp_path):
     connect = _table(str(tmp_path / "t.db"))
     from pyspark.sql import Row
