@@ -17,6 +17,9 @@ RANGE_ROWS, RANGES = 500_000, 256
 #: At most so many keys, or keys and ranges, go out as a broadcast.
 BROADCAST_ROWS = 100_000
 
+#: Keys of at most so many right intervals meet by key alone, without bins: a left row has few to be tested against.
+FEW = 64
+
 DIRECTIONS = ("backward", "forward", "nearest")
 
 
@@ -173,7 +176,7 @@ def interval_join(left: Frame, right: Frame, left_on: tuple[str, str], right_on:
 
     An interval belongs to the class of its length, a power of two, and stands in the few bins of that class's width that it covers. Two intervals meet in the bins of
     the longer one's class, and are emitted from the first bin that both cover: an equi-join on key, class and bin with a residual test, which adaptive execution splits where a bin is crowded. No pair of all rows is ever formed,
-    and a long interval takes no more bins than a short one."""
+    and a long interval takes no more bins than a short one. Keys of at most FEW right rows need no bins: each row is shuffled once, by key, and left rows without a match come from the same join."""
     if how not in ("inner", "left"):
         raise ValueError("how is inner or left")
     pairs = _pairs(by)
@@ -182,13 +185,48 @@ def interval_join(left: Frame, right: Frame, left_on: tuple[str, str], right_on:
     if clash:
         raise ValueError(f"both sides have {', '.join(sorted(clash))}; give a prefix")
     keys = [f"_k{i}" for i in range(len(pairs))]
+    if pairs:
+        here, there = ([F.col(f"`{p[i]}`").alias(f"_h{k}") for k, p in zip(keys, pairs)] for i in (0, 1))
+        crowded = right.df.groupBy(*there).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).drop("_n")
+        n = crowded.count()
+        if not n:
+            return left._with(_few(left.df, right.df, left_on, right_on, pairs, closed, how, renamed))
+        crowded = _small(crowded, n)
+
+        def parted(df: DataFrame, names: list[Column], kind: str) -> Frame:
+            on = functools.reduce(lambda x, y: x & y, [F.col(f"_h{k}").eqNullSafe(c) for k, c in zip(keys, names)])
+            return Frame(df.join(crowded, on, kind))
+
+        own, other = [F.col(f"`{x}`") for x, _ in pairs], [F.col(f"`{y}`") for _, y in pairs]
+        few = _few(parted(left.df, own, "left_anti").df, parted(right.df, other, "left_anti").df, left_on, right_on, pairs, closed, how, renamed)
+        return left._with(few.unionByName(_binned_join(parted(left.df, own, "left_semi").df, parted(right.df, other, "left_semi").df, left_on, right_on, pairs, closed, how, renamed)))
+    return left._with(_binned_join(left.df, right.df, left_on, right_on, pairs, closed, how, renamed))
+
+
+def _few(left: DataFrame, right: DataFrame, left_on: tuple[str, str], right_on: tuple[str, str], pairs: list[tuple[str, str]], closed: bool, how: str, renamed: list[str]) -> DataFrame:
+    """The join by key, the intervals' overlap tested on each pair of a key."""
+    a = left.select(*[F.col(f"`{c}`").alias(f"_a{i}") for i, c in enumerate(left.columns)])
+    b = right.select(*[F.col(f"`{c}`").alias(f"_b{i}") for i, c in enumerate(right.columns)])
+    at = lambda df, tag, name: F.col(f"{tag}{df.columns.index(name)}")
+    ends = [_number(at(df, t, e), df.schema[e].dataType) for df, t, on in ((left, "_a", left_on), (right, "_b", right_on)) for e in on]
+    if not all(isinstance(df.schema[e].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType, T.IntegralType)) for df, on in ((left, left_on), (right, right_on)) for e in on):
+        ends = [F.when(~F.isnan(c), c) for c in (c.cast("double") for c in ends)]
+    start, end, low, high = ends
+    meets = (start <= high) & (low <= end) if closed else (start < high) & (low < end)
+    same = functools.reduce(lambda x, y: x & y, [at(left, "_a", x).eqNullSafe(at(right, "_b", y)) for x, y in pairs])
+    found = a.join(b, same & meets, how)
+    return found.select(*[F.col(f"_a{i}").alias(c) for i, c in enumerate(left.columns)], *[F.col(f"_b{i}").alias(n) for i, n in enumerate(renamed)])
+
+
+def _binned_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str], right_on: tuple[str, str], pairs: list[tuple[str, str]], closed: bool, how: str, renamed: list[str]) -> DataFrame:
+    keys = [f"_k{i}" for i in range(len(pairs))]
 
     def side(df: DataFrame, ends: tuple[str, str], names: list[str], tag: str) -> DataFrame:
         a, b = (_number(F.col(f"`{e}`"), df.schema[e].dataType) for e in ends)
         key = [(F.col(f"`{n}`")).alias(f"{tag}{k}") for n, k in zip(names, keys)]
         return df.select(*key, a.alias(f"{tag}s"), b.alias(f"{tag}e"), _packed(df, f"{tag}row")).where(F.col(f"{tag}s").isNotNull() & F.col(f"{tag}e").isNotNull())
 
-    a, b = side(left.df, left_on, [x for x, _ in pairs], "_a"), side(right.df, right_on, [y for _, y in pairs], "_b")
+    a, b = side(left, left_on, [x for x, _ in pairs], "_a"), side(right, right_on, [y for _, y in pairs], "_b")
     whole = all(isinstance(df.schema[f"{t}{e}"].dataType, T.LongType) for df, t in ((a, "_a"), (b, "_b")) for e in "se")
     if not whole:
         a, b = (df.withColumns({f"{t}{e}": F.col(f"{t}{e}").cast("double") for e in "se"}) for df, t in ((a, "_a"), (b, "_b")))
@@ -211,11 +249,11 @@ def interval_join(left: Frame, right: Frame, left_on: tuple[str, str], right_on:
     found = a.join(b, condition & meets & first)
     inner = found.select(*[F.col("_arow")[c].alias(c) for c in left.columns], *[F.col("_brow")[c].alias(n) for c, n in zip(right.columns, renamed)])
     if how == "inner":
-        return left._with(inner)
+        return inner
     matched = found.select(F.col("_arow").alias("_row")).distinct()
-    rows = left.df.select(_packed(left.df, "_l"))
+    rows = left.select(_packed(left, "_l"))
     alone = rows.join(matched, F.col("_l").eqNullSafe(F.col("_row")), "left_anti").select("_l.*")
-    return left._with(inner.unionByName(alone, allowMissingColumns=True))
+    return inner.unionByName(alone, allowMissingColumns=True)
 
 
 def _class(tag: str) -> Column:

@@ -146,3 +146,15 @@ def test_interval_edges(spark):
     assert len(interval_join(a, none, ("s", "e"), ("s", "e"), how="left", prefix="r_").df.collect()) == 1
     with pytest.raises(TypeError):
         interval_join(_frame(spark, [("a", "b")], "s string, e string"), a, ("s", "e"), ("s", "e"), prefix="r_")
+
+
+def test_sparse_keys_meet_without_bins(spark):
+    spans = Frame(spark.range(400).selectExpr("id AS j", "id % 100 AS k", "id AS s", "id + 1 + id % 50 AS e"))
+    points = Frame(spark.range(900).selectExpr("id AS i", "id % 120 AS k", "id AS at"))
+    out = interval_join(points, spans, ("at", "at"), ("s", "e"), ["k"], how="left", prefix="r_").df
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join ") == 1
+    left, right = ([tuple(r) for r in f.df.collect()] for f in (points, spans))
+    found = brute_overlaps([(i, k, t, t) for i, k, t in left], right, True)
+    met = {i for i, _ in found}
+    assert sorted((r.i, -1 if r.r_j is None else r.r_j) for r in out.collect()) == sorted(found + [(i, -1) for i, *_ in left if i not in met])
