@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 from .frame import Frame, _ties
 
 #: A key with more rows is cut into time ranges of about so many rows, RANGES at most.
-RANGE_ROWS, RANGES = 500_000, 256
+RANGE_ROWS, RANGES = 500_000, 4096
+
+#: Rows that a task sorts, about; ranges are dealt over as many tasks as that takes.
+TASK_ROWS = 500_000
 
 #: At most so many keys, or keys and ranges, go out as a broadcast.
 BROADCAST_ROWS = 100_000
@@ -49,7 +52,14 @@ def _range_of(time: Column, bounds: list) -> Column:
         mid = (low + high) // 2
         return F.when(time < F.lit(bounds[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
 
-    return tree(0, len(bounds))
+    each = max(1, math.isqrt(len(bounds)))
+    if each < 8:
+        return tree(0, len(bounds))
+    # many bounds: first which run of them, then where in the run; one tree over all is more code than is compiled
+    runs = [bounds[i : i + each] for i in range(0, len(bounds), each)]
+    run = F.greatest(_range_of(time, [r[0] for r in runs]) - 1, F.lit(0))
+    table = F.array(*[F.array(*[F.lit(x) for x in r]) for r in runs])
+    return F.when(time.isNull(), F.lit(len(bounds))).otherwise(run * each + F.size(F.filter(F.get(table, run), lambda x: x <= time)))
 
 
 def asof_join(left: Frame, right: Frame, on: str | tuple[str, str], by: dict[str, str] | list[str] = (), direction: str = "backward", strict: bool = False, tolerance: str | float | None = None, how: str = "left", prefix: str = "", range_rows: int = RANGE_ROWS) -> Frame:
@@ -107,7 +117,8 @@ def _ranged(both: DataFrame, keys: list[str], range_rows: int) -> tuple[DataFram
     """Adds ``_b``, the time range of rows whose key has many; the ranges' bounds, equally deep over all such keys; and those keys."""
     counts = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > range_rows)
-    some, most = hot.agg(F.count(F.lit(1)), F.max("_n")).first()
+    is_hot = F.col("_n") > range_rows
+    some, most, total = counts.agg(F.count(F.when(is_hot, 1)), F.max(F.when(is_hot, F.col("_n"))), F.sum("_n")).first()
     if not some:
         return both.withColumn("_b", F.lit(0)), [], None
     ranges = min(RANGES, math.ceil(most / range_rows))
@@ -120,8 +131,12 @@ def _ranged(both: DataFrame, keys: list[str], range_rows: int) -> tuple[DataFram
     cuts = [i / ranges for i in range(1, ranges)]
     kind = both.schema["_t"].dataType
     number = F.col("_t") if isinstance(kind, T.NumericType) else F.unix_date("_t") if isinstance(kind, T.DateType) else F.unix_micros(F.col("_t").cast("timestamp"))
-    bounds = sorted(set(both.where("_hot").agg(F.percentile_approx(number, cuts, 1000)).first()[0] or []))
-    return both.withColumn("_b", F.when(F.col("_hot"), _range_of(number, bounds)).otherwise(0)).drop("_hot"), bounds, flagged
+    bounds = sorted(set(both.where("_hot").agg(F.percentile_approx(number, cuts, max(1000, 4 * ranges))).first()[0] or []))
+    both = both.withColumn("_b", F.when(F.col("_hot"), _range_of(number, bounds)).otherwise(0)).drop("_hot")
+    tasks = math.ceil(total / TASK_ROWS)
+    if tasks > int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")):  # else Spark deals them, and joins small ones
+        both = both.repartition(tasks, *keys, "_b")
+    return both, bounds, flagged
 
 
 def _carried(both: DataFrame, keys: list[str], bounds: list, hot: DataFrame | None, forward: bool, strict: bool, name: str) -> DataFrame:

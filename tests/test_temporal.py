@@ -1,10 +1,13 @@
 """As-of and interval joins against loops over all pairs."""
 
+import bisect
 import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import temporal
 from tessera.operators.frame import Frame
 from tessera.operators.temporal import asof_join, interval_join
 
@@ -158,3 +161,12 @@ def test_sparse_keys_meet_without_bins(spark):
     found = brute_overlaps([(i, k, t, t) for i, k, t in left], right, True)
     met = {i for i, _ in found}
     assert sorted((r.i, -1 if r.r_j is None else r.r_j) for r in out.collect()) == sorted(found + [(i, -1) for i, *_ in left if i not in met])
+
+
+def test_ranges_stay_small_however_many_rows(spark):
+    both = spark.range(20_000).selectExpr("id AS _t")
+    ranged, bounds, _ = temporal._ranged(both, [], 20)
+    assert len(bounds) > 900 and ranged.groupBy("_b").count().agg(F.max("count")).first()[0] <= 80
+    assert all(r._b == bisect.bisect_right(bounds, r._t) for r in ranged.collect())
+    nulls = spark.range(1).select(temporal._range_of(F.lit(None).cast("long"), bounds).alias("b"))
+    assert nulls.first().b == len(bounds)
