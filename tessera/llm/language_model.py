@@ -30,9 +30,6 @@ UNITS, WINDOW, LANES = 16, 16, 512
 #: Every training document is read in one of so many rounds. After each round the tasks' networks become one, their mean by tokens read.
 ROUNDS, RATE = 3, 0.02
 
-#: The state runs through all windows of all training texts; weights change at one of so many.
-LEARNT = 3
-
 #: Bytes of text that a task encodes at once (a longer text is on its own), and different words that it holds.
 CHUNK, HELD = 8_000_000, 400_000
 
@@ -290,22 +287,12 @@ class Trainer:
         fresh[starts] = True
         base = np.arange(lanes) * length
         h = np.zeros((lanes, UNITS), np.float32)
-        for w, t in enumerate(range(0, length, WINDOW)):
+        for t in range(0, length, WINDOW):
             places = [base + s for s in range(t, min(t + WINDOW, length))]
-            if w % LEARNT:
-                h = self.pass_by(places, given, fresh, h)
-            else:
-                h = self.window(places, given, targets, fresh, h)
-                self.update(rate)
+            h = self.window(places, given, targets, fresh, h)
+            self.update(rate)
         self.tokens += n
 
-    def pass_by(self, places: list[np.ndarray], given, fresh, h):
-        """The state after a window from which nothing is learnt."""
-        for place in places:
-            place = np.minimum(place, len(given) - 1)
-            h = self.net.step(given[place], h * (~fresh[place])[:, None].astype(h.dtype))[0]
-        return h
-
     def window(self, places: list[np.ndarray], given, targets, fresh, h):
         net, trace, outs = self.net, [], []
         for place in places:

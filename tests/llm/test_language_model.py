@@ -149,3 +149,10 @@ def test_held_out_texts_are_likelier_than_by_counts(spark):
     held = [r for r in lm.LanguageModel(df).score(df).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) * 0.97
     assert sum(r.score > r.base_score for r in held) > 0.9 * len(held)
+
+
+def test_weights_learn_at_every_window():
+    trainer = lm.Trainer(lm.Network(np.zeros(lm.Network.size(), np.float32)))
+    targets = np.arange(7 * lm.WINDOW, dtype=np.int32) % 50
+    trainer.chunk(targets, np.array([0]), 0.01)
+    assert trainer.n == 7 and trainer.tokens == len(targets)
