@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_by_worker
+
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that start with one blank after a non-blank are split off alike in any text.
@@ -25,7 +27,6 @@ CHUNKS = re.compile(r"(?<=\S)(?= \S)")
 CACHED, CACHE_CHARS = 600_000, 48
 #: Chunks whose number of ids is remembered.
 COUNTED = 1_200_000
-_BUILT: dict = {}
 
 
 def byte_alphabet() -> list[str]:
@@ -77,9 +78,7 @@ class Bpe:
     @classmethod
     def shared(cls, spec: str) -> Bpe:
         """One for all tasks that a Python worker runs."""
-        if _BUILT.get("spec") != spec:
-            _BUILT.update(spec=spec, bpe=cls(spec))
-        return _BUILT["bpe"]
+        return kept_by_worker(("bpe", spec), lambda: cls(spec))
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that the token's text has on this side while it is merged (0: left, 1: right), each with the

@@ -7,10 +7,9 @@ transitions) is fitted to those words, and a logistic map of a document's margin
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, kept_by_worker
+
 #: Training documents of each label, at most; the share of each label over all usable labels weighs them.
 TRAIN_DOCS = 1500
 #: Longer texts are not learned from.
@@ -245,23 +246,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def give_back() -> None:
-    """Freed memory goes back to the system: the C library keeps most of what training held, beside the driver's JVM and all later stages."""
-    gc.collect()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, spans): spans are (first, last, p) of words with p >= 0.5, in characters, last excluded.
 
     A text alone decides its score, whole, however long; null and empty texts have no words and get the score of no evidence. A row for each row; other
     columns, whatever their names, are not read; an empty table gives no rows. The model is a
     broadcast whose size the training bound limits. Nothing is shuffled."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped, own = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
-        tag = Tagger(shipped.value)
+        tag = kept_by_worker(("tagger", own), lambda: Tagger(shipped.value))
         for b in batches:
             for part, texts in _bounded(b, 1):
                 score, p, ends = tag(texts)
@@ -282,11 +276,11 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores below 0.5."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped, own = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     at = docs.columns.index(text_col)
 
     def run(batches):
-        tag = Tagger(shipped.value)
+        tag = kept_by_worker(("tagger", own), lambda: Tagger(shipped.value))
         for b in batches:
             for part, texts in _bounded(b, at):
                 yield part.filter(pa.array(tag(texts)[0] < 0.5))
@@ -295,18 +289,19 @@ def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
 
 
 #: Characters of the texts that are tagged at once, about.
-CHUNK = 2_000_000
-
-
-def _bounded(batch: pa.RecordBatch, at: int):
-    """Slices of a batch and their texts, of about CHUNK characters each."""
-    texts = [t or "" for t in batch.column(at).to_pylist()]
-    first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > CHUNK or i == len(texts) - 1:
-            yield batch.slice(first, i + 1 - first), texts[first : i + 1]
-            first, size = i + 1, 0
+CHUNK = 500_000
+
+
+def _bounded(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch and their texts, of about CHUNK characters each; only those of one slice are held."""
+    texts: list[str] = []
+    size = 0
+    for i, t in enumerate(batch.column(at)):
+        texts.append(t.as_py() or "")
+        size += len(texts[-1])
+        if size > CHUNK or i == batch.num_rows - 1:
+            yield batch.slice(i + 1 - len(texts), len(texts)), texts
+            texts, size = [], 0
 
 
 class Tagger:

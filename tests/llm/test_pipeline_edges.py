@@ -86,3 +86,25 @@ def test_training_gives_its_memory_back(spark):
     del parts
     toxicity.fit(docs, labels)
     assert len(last) == 20 and held() - before < 40
+
+
+def test_a_worker_keeps_the_tables_of_one_stage_only():
+    """Python workers outlive stages: what packing remembers goes when toxicity begins, and of a batch only one slice's texts are held."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from tessera.llm import bpe, common, toxicity
+
+    spec = bpe.vocabulary()
+    packing = weakref.ref(bpe.Bpe.shared(spec))
+    assert bpe.Bpe.shared(spec) is packing()
+    tag = common.kept_by_worker(("tagger", "x"), lambda: toxicity.Tagger(toxicity.Model()))
+    gc.collect()
+    assert packing() is None and common.kept_by_worker(("tagger", "x"), list) is tag
+    texts = ["a" * 100_000, None, "", "b" * 700_000, "c" * 300_000, "d"] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = [(part.column(0).to_pylist(), got) for part, got in toxicity._bounded(batch, 0)]
+    assert all([t or "" for t in part] == got for part, got in parts) and [t for part, _ in parts for t in part] == texts
+    assert max(sum(map(len, got)) for _, got in parts) <= 1_200_000
