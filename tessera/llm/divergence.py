@@ -1,13 +1,16 @@
 """Source divergence audit: how the words of each source of a language differ from those of its other sources and of the whole language.
 
-Each kept term becomes one wide row, an array of its counts by source. Higher-order functions turn it into the
-term's contribution to every pair of sources, which partial aggregates add up before anything is shuffled."""
+Each kept term becomes one wide row, an array of its counts by source, and higher-order functions its shares. Tasks
+add up the terms' contributions to every pair of sources by blocks of rows before anything is shuffled."""
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,11 @@ LEAST_DOCS = 3
 TOP = 200
 
 
+#: Shares that are added up at once, about: they stay in the processor's cache.
+BLOCK = 16_384
+_MOST = (1 << 63) - 1
+
+
 def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
@@ -70,6 +78,41 @@ def _share(a: str, of: str) -> str:
     return f"1 + (({a}) * 1000 div ({of})) * 1000000 + ({one} * 1000 div ({of})) * 1000 + ({two} * 1000 div ({of}))"
 
 
+def _block_sums(p: np.ndarray) -> np.ndarray:
+    """Of shares (terms, sources): for each two sources the sum over the terms of floor((p - q)^2 / q). A square is below 2^63, as no share is over 1e9 + 1."""
+    out = np.empty((p.shape[1], p.shape[1]), np.int64)
+    for j, q in enumerate(np.ascontiguousarray(p.T)):
+        away = p - q[:, None]
+        away *= away
+        away //= q[:, None]
+        for i in np.flatnonzero(away.max(0) > _MOST // len(p)):  # may leave the long integers
+            if sum(away[:, i].tolist()) > _MOST:
+                raise OverflowError("a sum over terms leaves the long integers")
+        out[:, j] = away.sum(0)
+    return out
+
+
+def _pair_sums(batches) -> Iterator[pa.RecordBatch]:
+    """(lang, i, j, f) of a task's (lang, p)."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            shares = batch.column(1).filter(pc.equal(langs.indices, k))
+            p = shares.flatten().to_numpy().reshape(len(shares), -1)
+            step = max(1, BLOCK // p.shape[1])
+            for at in range(0, len(p), step):
+                found = _block_sums(p[at : at + step])
+                if lang in sums and (sums[lang] > _MOST - found).any():
+                    raise OverflowError("a sum over terms leaves the long integers")
+                sums[lang] = sums[lang] + found if lang in sums else found
+    for lang, found in sums.items():
+        n = len(found)
+        for i in range(n):  # a source's row at a time
+            columns = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, i, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(found[i])]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "i", "j", "f"])
+
+
 class Audit:
     """Counts of one corpus, ready for ``pairs`` and ``terms``.
 
@@ -94,9 +137,10 @@ class Audit:
         self.shares = filled.selectExpr("lang", "term", "sources", "n", f"zip_with(n, over, (a, o) -> {_share('a + 1', 'o')}) AS p", f"{_share('aggregate(n, 0L, (a, x) -> a + x) + 1', 'over_all')} AS q")
 
     def pairs(self) -> DataFrame:
-        """(lang, source, item, value): for each two different sources of a language the sum over its kept terms of floor((p - q)^2 / q)."""
-        emitted = self.shares.selectExpr("lang", "p", "posexplode(p) AS (i, x)").selectExpr("lang", "i", "posexplode(transform(p, y -> (x - y) * (x - y) div y)) AS (j, f)")
-        sums = emitted.groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))
+        """(lang, source, item, value): for each two different sources of a language the sum over its kept terms of floor((p - q)^2 / q).
+
+        Tasks add up whole blocks of terms, so that they hand on one matrix a language and not a row for each term and pair."""
+        sums = self.shares.select("lang", "p").mapInArrow(_pair_sums, "lang string, i int, j int, f long").groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))
         sources = self.langs.selectExpr("lang", "sources", "posexplode(sources) AS (i, source)")
         both = sources.selectExpr("lang", "source", "i", "posexplode(sources) AS (j, item)").where("i <> j")
         return both.join(sums, ["lang", "i", "j"], "left").selectExpr("lang", "source", "item", "coalesce(f, 0L) AS value")

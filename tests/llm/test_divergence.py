@@ -82,3 +82,22 @@ def test_shares_are_exact_for_large_counts(spark):
 def test_audit_keeps_the_counts(spark):
     found = Audit(spark.createDataFrame(ROWS, SCHEMA))
     assert {r.lang: r.v for r in found.langs.collect()}["fr"] == 1
+
+
+def test_pairs_are_added_up_by_blocks(spark, monkeypatch):
+    """No row for each term and pair of sources; blocks and batches add up exactly, up to the long integers' end."""
+    import numpy as np
+
+    from tessera.llm import divergence
+
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.integers(1, 10**9 + 2, (60, 5)), [[10**9 + 1, 1, 1, 7, 10**9]] * 9]).astype(np.int64)
+    exact = [[sum((int(x) - int(y)) ** 2 // int(y) for x, y in zip(p[:, i], p[:, j])) for j in range(5)] for i in range(5)]
+    assert max(map(max, exact)) > 2**62 and divergence._block_sums(p).tolist() == exact
+    with pytest.raises(OverflowError):
+        divergence._block_sums(np.concatenate([p, p]))
+    monkeypatch.setattr(divergence, "BLOCK", 12)
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    assert sorted(map(tuple, audit(df).collect())) == brute(ROWS)
+    plan = Audit(df).pairs()._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "posexplode(p" not in plan
