@@ -76,3 +76,21 @@ def test_merging_shapes_does_not_depend_on_order():
         random.Random(seed).shuffle(found)
         ways.append(markup.struct_of(markup.all_merged(found), True).json())
     assert len(set(ways)) == 1
+
+
+def test_texts_of_one_outline_are_merged_once(spark, monkeypatch):
+    """Shapes are made of each different outline only; whether a name is repeated, has attributes or a value is told apart."""
+    texts = ["<a><b/></a>", "<a><b/><b/></a>", "<a><b x='1'/></a>", "<a><b>1</b></a>", "<a><b>2</b></a>", "<a b=''/>", "<a><b/>v</a>", "<b/>", "<a><b>"]
+    outlines = [markup.outline(t) for t in texts]
+    assert outlines[3] == outlines[4] and len(set(outlines)) == 8 and outlines[8] is None
+    made = markup.all_merged([markup.shape_of(p) for t in texts if (p := markup.parsed(t))])
+    monkeypatch.setattr(markup, "OUTLINES", 2)
+    assert markup.xml_schema(frame(spark, texts * 3).df, "node") == markup.struct_of(made, True)
+    kind = T.StructType.fromDDL("a struct<`@attributes` struct<c string>, b array<struct<`@attributes` struct<x string>>>>")
+    read = markup.fitted(kind)
+    assert read(texts[2]) == {"a": {"b": [{"@attributes": {"x": "1"}}]}} and read(texts[8]) is None
+    got = by_row(frame(spark, texts).cast_xml("node", kind))
+    assert got[5] == {"a": {"@attributes": {"c": None}, "b": None}} and got[7] == {"a": None} and got[8] is None
+    with pytest.raises(ValueError, match="deeper"):
+        read("<a>" * 65 + "</a>" * 65)
+    assert read("<z>" * 64 + "</z>" * 64) == {}
