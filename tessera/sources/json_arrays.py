@@ -10,12 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.frame import Frame
-from ..variants import merged_schema
+from ..variants import spark_type
 
 #: Bytes of a chunk, and bytes before it that are read along: backslashes before a quote and keys may reach back so far.
 CHUNK, BEFORE = 8 << 20, 1 << 16
@@ -147,13 +147,17 @@ def _elements(rows) -> Iterator[str]:
             begin = end + 1
 
 
-def _mapped(df: DataFrame, function, names: list[str], schema: str) -> DataFrame:
+def _mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
     def run(batches):
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns]):
                 made = list(function(iter([row])))
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -167,32 +171,40 @@ def array_elements(spark: SparkSession, path: str, pointer: str | None = None, c
     listed = [(r.path, r.protocol, r.size) for r in files(spark, path).df.where("is_file AND size > 0").collect() if not r.path.rsplit("/", 1)[-1].startswith(("_", "."))]
     schema = "uri string, low long, high long"
     pieces = [(f"{protocol}://{p}", low, min(low + chunk, size)) for p, protocol, size in listed for low in range(0, size, chunk)]
-    spread = lambda rows, kind: spark.createDataFrame(rows, kind).repartition(max(1, len(rows)))  # noqa: E731 - a chunk a task
     if not pieces:
         return spark.createDataFrame([], "element string")
-    sums = _mapped(spread(pieces, schema), _sums, ["uri", "low", "high", "parity", "outside", "within"], schema + ", parity long, outside long, within long")
-    before = Window.partitionBy("uri").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)  # a file's chunks, six numbers each
-    states = sums.withColumn("inside", F.coalesce(F.sum("parity").over(before), F.lit(0)) % 2)
-    states = states.withColumn("change", F.when(F.col("inside") == 0, F.col("outside")).otherwise(F.col("within")))
-    states = states.withColumn("depth", F.coalesce(F.sum("change").over(before), F.lit(0))).select("uri", "low", "high", "inside", "depth")
-    states = states.repartition(len(pieces))
-    marks = _mapped(states, lambda rows: _marks(rows, depth), ["uri", "place", "kind", "depth", "key"], "uri string, place long, kind string, depth long, key string")
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    spread = lambda rows, kind: spark.createDataFrame(rows, kind).repartition(min(tasks, len(rows)))  # noqa: E731 - chunks are dealt over the tasks
+    sums = _mapped(spread(pieces, schema), _sums, schema + ", parity long, outside long, within long")
+    states, inside, depth_at, of = [], 0, 0, None
+    for uri, low, high, parity, outside, within in sorted(map(tuple, sums.collect())):  # six numbers a chunk
+        if uri != of:
+            inside, depth_at, of = 0, 0, uri
+        states.append((uri, low, high, inside, depth_at))
+        depth_at += within if inside else outside
+        inside = (inside + parity) % 2
+    marks = _mapped(spread(states, schema + ", inside long, depth long"), lambda rows: _marks(rows, depth), "uri string, place long, kind string, depth long, key string")
     grouped = marks.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct("place", "kind", "depth", "key"))).alias("marks"))
-    ranges = _mapped(grouped, lambda rows: _ranges(rows, keys), ["uri", "low", "high"], schema).repartition(len(pieces))
-    return _mapped(ranges, lambda rows: ((e,) for e in _elements(rows)), ["element"], "element string")
+    ranges = [tuple(r) for r in _mapped(grouped, lambda rows: _ranges(rows, keys), schema).collect()]  # the index is made once, whoever reads the elements
+    if not ranges:
+        return spark.createDataFrame([], "element string")
+    return _mapped(spread(ranges, schema), lambda rows: ((e,) for e in _elements(rows)), "element string")
 
 
 def from_json_array(spark: SparkSession, path: str, pointer: str | None = None, schema: T.StructType | None = None, chunk: int = CHUNK) -> Frame:
     """The rows of the array at ``pointer`` in each file, in parallel within a file. Objects become columns, of the types that all of them agree on (variants where they do not) unless a schema is given; other elements one column, by the
     last key's name or ``value``. Files without such an array, and empty ones, give no rows; the order of rows is not kept.
 
-    Files are read by byte ranges with ``pyarrow.fs``, which reaches ``file``, ``s3``, ``gs`` and ``hdfs`` URIs. What encloses the array goes to the driver; its elements do not."""
+    Files are read by byte ranges with ``pyarrow.fs``, which reaches ``file``, ``s3``, ``gs`` and ``hdfs`` URIs. What encloses the array and a few numbers for each chunk go to the driver; its elements do not."""
     elements = array_elements(spark, path, pointer, chunk)
-    first = elements.first()
-    if first is None:
-        return Frame(spark.createDataFrame([], schema or T.StructType()))
     keys = [k for k in (pointer or "").split("/") if k]
-    kind = schema.simpleString() if schema else merged_schema(elements, F.parse_json("element"))
+    if schema:
+        kind = schema.simpleString()
+    else:  # one pass tells the types and whether there are elements
+        n, found = elements.agg(F.count(F.lit(1)), F.schema_of_variant_agg(F.parse_json("element"))).first()
+        if not n:
+            return Frame(spark.createDataFrame([], T.StructType()))
+        kind = spark_type(found)
     value = F.from_json("element", kind) if kind.upper().startswith(("STRUCT<", "ARRAY<")) else F.from_json(F.concat(F.lit('{"v":'), "element", F.lit("}")), f"v {kind}")["v"]
     parsed = elements.select(value.alias(keys[-1] if keys else "value"))
     return Frame(parsed.select(f"`{parsed.columns[0]}`.*") if kind.upper().startswith("STRUCT<") else parsed)

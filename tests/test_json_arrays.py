@@ -74,3 +74,13 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
     out = from_json_array(spark, str(path), "/data", schema, chunk=4 << 20)
     per_task = out.df.selectExpr("spark_partition_id() AS p", "id").groupBy("p").agg({"id": "sum", "*": "count"}).collect()
     assert len(per_task) >= 4 and sum(r["count(1)"] for r in per_task) == n and sum(r["sum(id)"] for r in per_task) == n * (n - 1) // 2
+
+
+def test_the_index_is_made_once(spark, tmp_path):
+    """Whoever reads the elements reads ranges; chunks are not gone through again for their structure."""
+    path = tmp_path / "rows.json"
+    path.write_text(json.dumps(some(40)))
+    elements = json_arrays.array_elements(spark, str(path), chunk=300)
+    plan = elements._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan and "Aggregate" not in plan
+    assert elements.count() == elements.count() == 40
