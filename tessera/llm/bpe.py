@@ -13,6 +13,7 @@ import json
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ CHUNKS = re.compile(r"(?<=\S)(?= \S)")
 CACHED, CACHE_CHARS = 600_000, 48
 #: Chunks whose number of ids is remembered.
 COUNTED = 1_200_000
+#: Pieces of at most so many bytes are counted in blocks, by their merges; a block's pieces, and letters of texts that are counted at once.
+MERGED, BLOCK, AT_ONCE = 32, 4096, 4_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -74,6 +77,16 @@ class Bpe:
         self.cache: dict[str, bytes] = {}  # of chunks and of pieces: both bounded
         self.known: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
+        #: The merges as arrays: pairs (left << 32 | right) in order with their ranks, the token that each rank makes, tokens of the 256 bytes' letters, the ranks of their pairs.
+        pairs = sorted((x << 32 | y, r) for (x, y), r in self.rank.items())
+        self.merges, self.ranks = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+        self.makes = np.zeros(len(model["merges"]), np.int64)
+        for z, r in ((vocab[a + b], r) for r, m in enumerate(model["merges"]) for a, b in [m if isinstance(m, list) else m.split(" ")]):
+            self.makes[r] = z
+        self.single = np.full(0x200, -1, np.int64)
+        for c in letters:
+            self.single[ord(c)] = vocab.get(c, -1)
+        self.whole = len(pairs) > 0 and all(c in vocab for c in letters)
 
     @classmethod
     def shared(cls, spec: str) -> Bpe:
@@ -115,7 +128,9 @@ class Bpe:
         return "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")])
 
     def encode_piece(self, piece: str) -> list[int]:
-        text = self._text(piece)
+        return self._ids(self._text(piece))
+
+    def _ids(self, text: str) -> list[int]:
         n = len(text)
         last, length = [-1] * (n + 1), [0] * (n + 1)
         pairs, compatible = self.pairs.get, self.compatible
@@ -195,6 +210,96 @@ class Bpe:
                     self.counts[chunks[i]] = n
         return sum(counts)
 
+    def count_all(self, texts: list[str]) -> list[int]:
+        """``count`` of each text. Pieces that are new are counted together, by their merges."""
+        out, first, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size > AT_ONCE or i == len(texts) - 1:
+                out += self._count_some(texts[first : i + 1])
+                first, size = i + 1, 0
+        return out
+
+    def _count_some(self, texts: list[str]) -> list[int]:
+        if len(self.counts) > COUNTED:
+            self.counts.clear()
+        known, out, left, new = self.counts, [], [], {}
+        for i, t in enumerate(texts):
+            if self.specials is not None and self.specials.search(t):
+                out.append(len(self.encode(t)) // 4)
+                continue
+            chunks = CHUNKS.split(t)
+            counts = list(map(known.get, chunks))
+            if None in counts:
+                at = [j for j, n in enumerate(counts) if n is None]
+                mine = [chunks[j] for j in at]
+                new.update(dict.fromkeys(mine))
+                left.append((i, mine))
+                out.append(sum([n for n in counts if n is not None]))
+            else:
+                out.append(sum(counts))
+        pieces: dict[str, int | None] = {}
+        for chunk in new:
+            word = chunk[1:] if chunk[:1] == " " else chunk
+            new[chunk] = [chunk] if word.isascii() and word.isalpha() else self.pieces.findall(chunk)
+            pieces.update([(p, known.get(p)) for p in new[chunk]])
+        fresh = [p for p, n in pieces.items() if n is None]
+        for p, n in zip(fresh, self._merged([self._text(p) for p in fresh])):
+            pieces[p] = n
+            if len(p) <= CACHE_CHARS:
+                known[p] = n
+        for chunk, parts in new.items():
+            new[chunk] = n = sum([pieces[p] for p in parts])
+            if len(chunk) <= CACHE_CHARS:
+                known[chunk] = n
+        for i, mine in left:
+            out[i] += sum([new[c] for c in mine])
+        return out
+
+    def _merged(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text in the vocabulary's letters. In all texts of a block the merge of least rank, the leftmost of equals, is done at once, until no pair merges."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        out, short = sizes.copy(), sizes <= (MERGED if self.whole else 0)
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = len(self._ids(texts[i]))
+        order = np.flatnonzero(short & (sizes > 1))
+        order = order[np.argsort(sizes[order], kind="stable")]
+        for at in range(0, len(order), BLOCK):
+            rows = order[at : at + BLOCK]
+            n = sizes[rows]
+            width = int(n[-1])
+            there = np.arange(width) < n[:, None]
+            symbols = np.full((len(rows), width), -1, np.int64)
+            symbols[there] = self.single[np.frombuffer("".join([texts[i] for i in rows.tolist()]).encode("utf-32-le"), np.uint32)]
+            ranks = self._ranked(symbols[:, :-1], symbols[:, 1:])
+            while len(rows):
+                best = ranks.argmin(1)
+                rank = ranks[np.arange(len(rows)), best]
+                live = rank < len(self.makes)
+                if not live.all():
+                    rows, symbols, ranks, best, rank = rows[live], symbols[live], ranks[live], best[live], rank[live]
+                if not len(rows):
+                    break
+                out[rows] -= 1
+                each, places = np.arange(len(rows)), np.arange(symbols.shape[1])
+                later = np.minimum(places + (places > best[:, None]), places[-1])
+                symbols = np.take_along_axis(symbols, later, 1)
+                symbols[:, -1] = -1
+                symbols[each, best] = self.makes[rank]
+                ranks = np.take_along_axis(ranks, later[:, :-1].clip(0, ranks.shape[1] - 1), 1)
+                ranks[:, -1] = len(self.makes)
+                before = np.maximum(best - 1, 0)
+                ranks[each, before] = self._ranked(symbols[each, before], symbols[each, before + 1])
+                after = np.minimum(best, ranks.shape[1] - 1)
+                ranks[each, after] = self._ranked(symbols[each, after], symbols[each, after + 1])
+        return out.tolist()
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of merging each pair; one over all ranks where it does not merge (-1: nothing there)."""
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.merges, pair), len(self.merges) - 1)
+        return np.where((self.merges[at] == pair) & (left >= 0) & (right >= 0), self.ranks[at], len(self.makes))
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
 

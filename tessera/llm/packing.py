@@ -84,7 +84,7 @@ def token_counts(docs: DataFrame, spec: str, id_col: str, text_col: str) -> Data
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                n = [bpe.count(t or "") + 1 for t in part.column(2).to_pylist()]
+                n = [n + 1 for n in bpe.count_all([t or "" for t in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64())], names=["doc_id", "row", "n"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))

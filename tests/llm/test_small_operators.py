@@ -459,3 +459,18 @@ def test_toxic_documents_are_found(spark):
     assert kept.columns == d.columns and kept.count() == sum(r.predicted == 0 for r in rows)
     nothing = toxicity.fit(d, lab.limit(0))
     assert toxicity.score_documents(d.limit(3), nothing).where("predicted = 1").count() == 0
+
+
+def test_new_pieces_are_counted_together():
+    import random
+
+    from tessera.llm import bpe
+
+    one, all_ = bpe.Bpe(bpe.vocabulary()), bpe.Bpe(bpe.vocabulary())
+    random.seed(11)
+    letters = [*map(chr, range(32, 127)), *"éß漢😀\n\t 　", *"etaoin" * 9, *" " * 20]
+    texts = ["".join(random.choices(letters, k=random.randint(0, 90))) for _ in range(1500)] + ["", " ", "a" * 500 + " " + "ab" * 15 + " hello" * 4, "<|endoftext|> x<|endoftext|>"]
+    expected = [len(one.encode(t)) // 4 for t in texts]
+    assert all_.count_all(texts) == expected
+    assert all_.count_all(texts) == expected  # from what is remembered
+    assert all_.count_all([]) == []
