@@ -37,13 +37,14 @@ class Hasher:
         self.limit = limit
 
     def __call__(self, terms: list[bytes]) -> np.ndarray:
-        known, out = self.known, []
-        for t in terms:
-            if (h := known.get(t)) is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                known[t] = h = xxhash.xxh64_intdigest(t, 7)
-            out.append(h)
+        known = self.known
+        out = list(map(known.get, terms))
+        if None in out:
+            for i, t in enumerate(terms):
+                if out[i] is None:
+                    if len(known) >= self.limit:
+                        known.clear()
+                    known[t] = out[i] = xxhash.xxh64_intdigest(t, 7)
         return np.array(out, np.uint64)
 
 
@@ -82,6 +83,10 @@ _SEEDS = np.array([xxhash.xxh64_intdigest(b"order", i) | 1 for i in range(COPIES
 _LEADING = np.array([SCALES - 1 - i.bit_length() for i in range(1 << (SCALES - 1))], np.int8)
 
 
+#: Subsets of an order, densest first, as a column.
+_STEPS = np.arange(1, SCALES, dtype=np.int8)[:, None]
+
+
 def _ranks(h: np.ndarray) -> np.ndarray:
     """(COPIES, terms): the sparsest subset of each order that holds the term; SCALES - 1 at most."""
     with np.errstate(over="ignore"):
@@ -107,8 +112,9 @@ def fingerprint(text: str, lexicon: np.ndarray, hasher: Hasher) -> str:
             h = h[known]
     digest = xxhash.xxh64_hexdigest
     out = [digest(h.tobytes())]
-    for rank in _ranks(h):
-        out.append("".join([digest(h[rank >= s].tobytes())[:DIGITS] for s in range(1, int(rank.max()) + 1)]) or "-")
+    ranks = _ranks(h)
+    for rank, top in zip(ranks, ranks.max(1).tolist()):
+        out.append("".join([digest(h[left])[:DIGITS] for left in rank >= _STEPS[:top]]) or "-")
     return " ".join(out)
 
 

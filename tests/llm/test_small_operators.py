@@ -474,3 +474,20 @@ def test_new_pieces_are_counted_together():
     assert all_.count_all(texts) == expected
     assert all_.count_all(texts) == expected  # from what is remembered
     assert all_.count_all([]) == []
+
+
+def test_fingerprints_hash_each_nested_subset_whole():
+    import xxhash
+
+    from tessera.llm import imatch
+
+    rng = np.random.default_rng(5)
+    vocabulary = [f"term{i}" for i in range(400)]
+    lexicon = np.sort(np.array([xxhash.xxh64_intdigest(t.encode(), 7) for t in vocabulary[::2]], np.uint64))
+    hasher = imatch.Hasher(limit=50)  # forgets all the time
+    for n in (1, 2, 7, 150):
+        text = " ".join(rng.choice(vocabulary, n))
+        h = np.sort(np.array([xxhash.xxh64_intdigest(t, 7) for t in imatch.terms_of(text)], np.uint64))
+        h = kept if len(kept := h[np.isin(h, lexicon)]) else h
+        orders = ["".join(xxhash.xxh64_hexdigest(h[r >= s].tobytes())[: imatch.DIGITS] for s in range(1, int(r.max()) + 1)) or "-" for r in imatch._ranks(h)]
+        assert imatch.fingerprint(text, lexicon, hasher) == " ".join([xxhash.xxh64_hexdigest(h.tobytes()), *orders])
