@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,15 +55,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of all texts and one end (the empty word) for each; tasks add up what they see before it is shuffled."""
 
     def run(batches):
-        held: dict[bytes, int] = {}
+        held: Counter[bytes] = Counter()
         for b in batches:
             for t in b.column(0):
-                for w in words(t.as_py()):
-                    held[w] = held.get(w, 0) + 1
-                held[END] = held.get(END, 0) + 1
+                held.update(words(t.as_py()))
+                held[END] += 1
                 if len(held) > HELD:
                     yield made(held)
-                    held = {}
+                    held = Counter()
         if held:
             yield made(held)
 
@@ -145,11 +145,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 STEEPEST = 60
 
 
-def _normal(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, chosen: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
+def _steep(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Whether weighted sums could leave STEEPEST, for each table of weights: states are within 1."""
+    return (np.abs(weights).sum(-2) + np.abs(bias)).max(-1) > STEEPEST
+
+
+def _normal(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, steep: bool, rows: np.ndarray, chosen: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
     """The log of the chosen outcome's share in each row; and, to ``learn``, that log's slopes."""
     x = h @ weights
     x += bias
-    if (np.abs(weights).sum(0) + np.abs(bias)).max() > STEEPEST:  # states are within 1
+    if steep:
         np.clip(x, -STEEPEST, STEEPEST, out=x)
     picked = x[rows, chosen].astype(np.float64)
     np.exp(x, x)
@@ -204,27 +209,31 @@ class Network:
     def log_shares(self, h: np.ndarray, targets: np.ndarray, learn: Network | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log (base e) of each target symbol's class and, for head words, of the word in it. With ``learn``: adds its weights' gradients, and returns those of h, of the sum."""
         head = targets < HEAD
-        of = np.where(head, targets // (HEAD // CLASSES), targets - HEAD + CLASSES)
+        of = np.where(head, targets // (HEAD // CLASSES), targets - HEAD + CLASSES).astype(np.uint8)
         rows = np.arange(len(h))
-        out, slopes = _normal(h, self.classes, self.class_bias, rows, of, learn is not None)
+        out, slopes = _normal(h, self.classes, self.class_bias, _steep(self.classes, self.class_bias), rows, of, learn is not None)
         back = None
         if learn is not None:
             learn.classes += h.T @ slopes
             learn.class_bias += slopes.sum(0)
             back = slopes @ self.classes.T
-        order = np.argsort(np.where(head, of, CLASSES), kind="stable")
-        ends = np.searchsorted(of[order[: head.sum()]], np.arange(CLASSES + 1))
+        order = np.argsort(np.where(head, of, np.uint8(CLASSES)), kind="stable")[: np.count_nonzero(head)]  # of few bits, so that numpy sorts by digits
+        ends = np.searchsorted(of[order], np.arange(CLASSES + 1, dtype=np.uint8))
+        states, places = h[order], targets[order] % (HEAD // CLASSES)
+        logs, more = np.empty(len(order)), np.empty_like(states)
+        steep = _steep(self.words, self.word_bias)
         for c in range(CLASSES):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                mine = h[at]
-                place, rows = targets[at] % (HEAD // CLASSES), np.arange(len(at))
-                got, slopes = _normal(mine, self.words[c], self.word_bias[c], rows, place, learn is not None)
-                out[at] += got
+            at = slice(ends[c], ends[c + 1])
+            if at.start < at.stop:
+                mine = states[at]
+                logs[at], slopes = _normal(mine, self.words[c], self.word_bias[c], steep[c], rows[: len(mine)], places[at], learn is not None)
                 if learn is not None:
                     learn.words[c] += mine.T @ slopes
                     learn.word_bias[c] += slopes.sum(0)
-                    back[at] += slopes @ self.words[c].T
+                    np.matmul(slopes, self.words[c].T, out=more[at])
+        out[order] += logs
+        if learn is not None:
+            back[order] += more
         return out, back
 
 
@@ -304,35 +313,42 @@ class Trainer:
             trace.append((place, live, keep, before, gates, candidate, inner))
             outs.append(before)
         live = np.concatenate([x[1] for x in trace])
-        target = np.concatenate([targets[x[0]] for x in trace])
+        at = np.concatenate([x[0] for x in trace])
+        target = targets[at]
         states = np.concatenate(outs)
         self.count = int(live.sum())
-        back = np.zeros_like(states)
-        _, back[live] = net.log_shares(states[live], target[live], self.grads)
+        if self.count == len(live):
+            back = net.log_shares(states, target, self.grads)[1]
+        else:
+            back = np.zeros_like(states)
+            _, back[live] = net.log_shares(states[live], target[live], self.grads)
         back = back.reshape(len(places), -1, UNITS)
-        self.through(trace, given, back)
+        self.through(trace, given[at].astype(np.uint16), states, back)  # of few bits, so that numpy sorts by digits
         return h
 
-    def through(self, trace, given, back) -> None:
+    def through(self, trace, symbols, states, back) -> None:
         """Errors back through the window, not beyond it."""
         net, g, u = self.net, self.grads, UNITS
         error = np.zeros_like(back[0])
-        symbols, rows = [], []
-        for (place, _, keep, before, gates, candidate, inner), more in zip(reversed(trace), back[::-1]):
+        inners = np.empty((*back.shape[:2], 3 * u), np.result_type(back, net.flat))
+        rows = np.empty_like(inners)
+        for (_, _, keep, before, gates, candidate, inner), more, d_u, row in zip(reversed(trace), back[::-1], inners[::-1], rows[::-1]):
             z, r = gates[:, :u], gates[:, u:]
             d_candidate = error * (1 - z) * (1 - candidate * candidate)
-            d_inner = d_candidate * r
-            d_gates = np.concatenate([error * (before - candidate), d_candidate * inner], 1) * gates * (1 - gates)
-            d_u = np.concatenate([d_gates, d_inner], 1)
-            symbols.append(given[place])
-            rows.append(np.concatenate([d_gates, d_candidate], 1))
-            g.recurrent += before.T @ d_u
-            g.bias += d_inner.sum(0)
+            np.multiply(error, before - candidate, out=d_u[:, :u])
+            np.multiply(d_candidate, inner, out=d_u[:, u : 2 * u])
+            d_u[:, : 2 * u] *= gates * (1 - gates)
+            np.multiply(d_candidate, r, out=d_u[:, 2 * u :])
+            row[:, : 2 * u] = d_u[:, : 2 * u]
+            row[:, 2 * u :] = d_candidate
             error = (error * z + d_u @ net.recurrent.T + more) * keep
-        symbols, rows = np.concatenate(symbols), np.concatenate(rows)
+        inners, rows = inners.reshape(-1, 3 * u), rows.reshape(-1, 3 * u)
+        g.recurrent += states.T @ inners
+        g.bias += inners[:, 2 * u :].sum(0)
         order = np.argsort(symbols, kind="stable")
-        ends = np.flatnonzero(np.append(True, np.diff(symbols[order]) != 0))
-        g.inputs[symbols[order][ends]] += np.add.reduceat(rows[order], ends)
+        symbols = symbols[order]
+        ends = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+        g.inputs[symbols[ends]] += np.add.reduceat(rows[order], ends)
 
     def update(self, rate: float) -> None:
         g = self.grads.flat

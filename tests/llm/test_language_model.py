@@ -156,3 +156,25 @@ def test_weights_learn_at_every_window():
     targets = np.arange(7 * lm.WINDOW, dtype=np.int32) % 50
     trainer.chunk(targets, np.array([0]), 0.01)
     assert trainer.n == 7 and trainer.tokens == len(targets)
+
+
+def test_a_word_in_each_class_learns_as_differences_say():
+    """States that meet by class go back to their rows: gradients of the states too, with weights that could leave the range of exponentials in some classes only."""
+    v, _, _ = small(TEXT)
+    net = lm.Network(lm.Network.new(v).flat.astype(np.float64))
+    rng = np.random.default_rng(4)
+    net.flat += rng.normal(0, 0.1, len(net.flat))
+    net.words[3] *= 300
+    assert lm._steep(net.words, net.word_bias).tolist() == [(np.abs(w).sum(0) + np.abs(b)).max() > lm.STEEPEST for w, b in zip(net.words, net.word_bias)]
+    assert lm._steep(net.words, net.word_bias)[3] and not lm._steep(net.words, net.word_bias)[4]
+    targets = rng.permutation(np.append(rng.integers(0, lm.HEAD, 200), rng.integers(lm.HEAD, lm.HEAD + lm.ENDINGS, 40)))
+    targets = targets[targets // (lm.HEAD // lm.CLASSES) != 3]
+    h = rng.normal(0, 0.4, (len(targets), lm.UNITS))
+    logs, back = net.log_shares(h, targets, lm.Network(np.zeros_like(net.flat)))
+    one = np.array([net.log_shares(h[i : i + 1], targets[i : i + 1])[0][0] for i in range(len(targets))])
+    assert logs == pytest.approx(one)
+    for u in (0, 7, 15):
+        step = np.zeros(lm.UNITS)
+        step[u] = 1e-5
+        slope = (net.log_shares(h + step, targets)[0] - net.log_shares(h - step, targets)[0]) / 2e-5
+        assert back[:, u] == pytest.approx(slope, abs=1e-4)
